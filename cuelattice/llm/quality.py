@@ -214,6 +214,11 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     return docs.select("doc_id", scorer(train(docs, labels, per_class))("text").alias("score"))
 
 
+def accepted_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, score) of the rows of docs that score at least threshold: those of `accepted`, without their text."""
+    return scored(docs, labels, per_class).where(F.col("score") >= threshold)
+
+
 def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold. Null texts go; with no usable label all others stay. All columns pass."""
     return docs.where(scorer(train(docs, labels, per_class))("text") >= threshold)
