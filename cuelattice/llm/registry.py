@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, minhash, quality, sql_lines, toxicity
+from . import chat, covertree, ctw, decontam, licenses, linededup, minhash, mixing, quality, sql_lines, toxicity
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.offending_sentences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.best_branches(chat.messages_of(table(spark, sf_dir, "conversations")))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_pairs(table(spark, sf_dir, "documents"))
 
@@ -28,13 +36,32 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.accepted_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(table(spark, sf_dir, "documents"), licenses.template_table(spark))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op4_minhash, op5_line_dedup, op6_decontamination, op9_quality)}
+    ops = (op1_toxicity, op2_reply_trees, op3_mixing, op4_minhash, op5_line_dedup, op6_decontamination, op7_embedding_dedup, op8_lm_scoring, op9_quality, op10_licenses)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": sql_lines.dedup_lines_sql(linededup.MIN_CHARS)}
+    return {
+        "op2_reply_trees": chat.best_branches_sql(),
+        "op3_mixing": mixing.mixture_sql(),
+        "op5_line_dedup": sql_lines.dedup_lines_sql(linededup.MIN_CHARS),
+        "op7_embedding_dedup": covertree.near_pairs_sql(),
+        "op10_licenses": licenses.matches_sql(),
+    }

@@ -81,3 +81,11 @@ def arrow_function(fn, returns: T.DataType):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """With a broadcast hint if a count finds at most so many (narrow) rows; beyond that, Spark's own choice of join."""
+    return F.broadcast(df) if df.count() <= rows else df
