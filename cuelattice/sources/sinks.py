@@ -22,7 +22,8 @@ def render_srt(cues: DataFrame, text: str = "text", newline_end: bool = False) -
 
 def write_texts(contents: DataFrame, path: str) -> None:
     """One folder a media_id with its content as text."""
-    contents.select("media_id", "content").repartition("media_id").write.mode("overwrite").partitionBy("media_id").option("lineSep", "").text(path)
+    # the writer ends each row with a newline itself
+    contents.select("media_id", F.regexp_replace("content", "\n$", "").alias("content")).repartition("media_id").write.mode("overwrite").partitionBy("media_id").text(path)
 
 
 def render_json(rows: DataFrame) -> DataFrame:

@@ -153,13 +153,13 @@ def test_greedy_chunks(spark):
 def test_restored_times():
     ref = [(0, 1000, "今天大盤上漲"), (1000, 2000, "台積電創新高"), (2000, 3000, "我們來看均線"), (3000, 5000, "支撐與壓力都很重要")]
     assert sequence.restored_times([t for _, _, t in ref], ref) == [(s, e) for s, e, _ in ref]
-    assert sequence.restored_times(["今天大盤上漲台積電創新高", "我們來看均線"], ref[:3]) == [(0, 2000), (2000, 3000)]
-    assert sequence.restored_times(["支撐與壓力", "都很重要"], ref[3:]) == [(3000, 4111), (4111, 5000)]
+    assert sequence.restored_times(["今天大盤上漲台積電創新高我們來看均線", "支撐與壓力都很重要"], ref) == [(0, 3000), (3000, 5000)]
+    assert sequence.restored_times(["支撐與", "壓力都", "很重要"], ref[3:]) == [(3000, 3666), (3666, 4333), (4333, 5000)]
     assert sequence.restored_times(["完全無關的句子呢", "", "我們來看均線"], ref) == [None, None, (2000, 3000)]
 
 
 def test_restore_places_orphans(spark):
-    cor = cues(spark, [(0, 0, "今天大盤上漲"), (0, 0, "呼呼嘿嘿"), (0, 0, "我們來看均線"), (0, 0, "尾巴啦啦啦")])
+    cor = cues(spark, [(0, 0, "今天大盤上漲"), (0, 0, "呼呼嘿嘿哈哈哈哈嗚嗚嗚嗚"), (0, 0, "我們來看均線"), (0, 0, "尾巴啦啦啦")])
     ref = cues(spark, [(0, 1000, "今天大盤上漲"), (3000, 4000, "我們來看均線")])
     got = [(r.start_ms, r.end_ms) for r in sequence.restore_timecodes(cor, ref).orderBy("seq").collect()]
     assert got == [(0, 1000), (1000, 3000), (3000, 4000), (4000, 6000)]

@@ -23,7 +23,7 @@ def test_chunk_stream(spark, tmp_path):
 
 
 def test_sessions_and_repeats(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 0), (1, 300), (1, 5000), (2, 0), (1, 300)], "user_id int, s int").select("user_id", F.timestamp_seconds("s").alias("ts"))
+    rows = spark.createDataFrame([(1, 0), (1, 300), (1, 5000), (2, 0), (1, 300)], "user_id int, s int").select("user_id", F.timestamp_seconds(F.col("s") + 1_000_000_000).alias("ts"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     x = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     assert _drained(streams.sessions(x), "sessions", "complete").count() == streams.sessions(rows).count() == 3
