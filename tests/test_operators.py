@@ -155,7 +155,7 @@ def test_restored_times():
     assert sequence.restored_times([t for _, _, t in ref], ref) == [(s, e) for s, e, _ in ref]
     assert sequence.restored_times(["今天大盤上漲台積電創新高我們來看均線", "支撐與壓力都很重要"], ref) == [(0, 3000), (3000, 5000)]
     assert sequence.restored_times(["支撐與", "壓力都", "很重要"], ref[3:]) == [(3000, 3666), (3666, 4333), (4333, 5000)]
-    assert sequence.restored_times(["完全無關的句子呢", "", "我們來看均線"], ref) == [None, None, (2000, 3000)]
+    assert sequence.restored_times(["完全無關的句子呢", "我們來看均線", ""], ref) == [None, (2000, 3000), None]
 
 
 def test_restore_places_orphans(spark):
