@@ -63,10 +63,10 @@ def _line_rows(batch: pa.RecordBatch, min_chars: int) -> Iterator[pa.RecordBatch
         ends = np.concatenate([cut, off[1:]])
         starts.sort()
         ends.sort()
-        row = np.searchsorted(off, starts, "right") - 1
-        # an empty text shares its start with the next one; its only line is empty and too short anyway
-        row = np.minimum(row, hi - lo - 1)
-        pos = np.arange(len(starts)) - np.searchsorted(starts, off[row])
+        # by counts: an empty text shares its start with the next one
+        many = np.searchsorted(cut, off[1:]) - np.searchsorted(cut, off[:-1]) + 1
+        row = np.repeat(np.arange(hi - lo), many)
+        pos = np.arange(len(starts)) - np.repeat(np.cumsum(many) - many, many)
         ok = ends - starts >= max(2, min_chars)
         s, e, row, pos = starts[ok], ends[ok], row[ok], pos[ok]
         n = e - s
