@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
 
 
 def locate_rows(texts: pa.Array, w: np.ndarray, b: float, threshold: float) -> list[list[dict]]:
-    """Of each text, if its noisy-or reaches threshold: its sentences that do so too, or else the strongest one."""
+    """Of each text, if its noisy-or reaches threshold: its sentences that do so too."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     for lo, hi, buf, off in K.pieces(texts):
         f, at, starts, first = tokens(buf, off)
@@ -122,8 +122,7 @@ def locate_rows(texts: pa.Array, w: np.ndarray, b: float, threshold: float) -> l
         s = 1 / (1 + np.exp(-z))
         for i in np.flatnonzero(1 - np.exp(-total) >= threshold):
             own = np.arange(first[i], first[i + 1])
-            bad = own[s[own] >= threshold]
-            for j in bad if len(bad) else [own[np.argmax(s[own])]]:
+            for j in own[s[own] >= threshold]:
                 end = starts[j + 1] if j + 1 < first[i + 1] else off[i + 1]
                 text = buf[starts[j] : end].tobytes().decode("utf-8", "replace").strip()
                 out[lo + i].append({"sentence_no": int(j - first[i]), "sentence": text, "sentence_score": float(s[j]), "doc_score": float(1 - np.exp(-total[i]))})
@@ -144,7 +143,8 @@ def _locator(held, b: float, threshold: float) -> Callable[[pa.Array], pa.Array]
 def offending_sentences(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, sentence_no, sentence, sentence_score, doc_score) of each offending sentence of each document found toxic.
 
-    sentence_no counts from 0. A toxic document none of whose sentences reaches the threshold alone shows its strongest. Null
+    sentence_no counts from 0. A document is found toxic if its noisy-or reaches the threshold and a sentence of it does so alone: in a very
+    long text the small chances of thousands of clean sentences add up, and nothing in it could be shown as the offence. Null
     and empty texts have no sentences. A null doc_id is carried as null; repeated rows are each reported. Without labels of
     both classes nothing is found; an empty table gives no rows.
     """
