@@ -54,10 +54,11 @@ def needed(n: int, threshold: float) -> int:
 
 
 def blocks(buf: np.ndarray, off: np.ndarray, paragraphs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes of all blocks and the n+1 boundaries of each row's: lines, or paragraphs (cut where a line is empty)."""
+    """First bytes of all blocks and the n+1 boundaries of each row's: lines, or paragraphs (parted by two newlines or more)."""
     cut = np.zeros(len(buf) + 1, bool)
     if paragraphs:
         cut[2:] = (buf[1:] == 10) & (buf[:-1] == 10)
+        cut[:-1] &= buf != 10  # a run of newlines parts once
     else:
         cut[1:] = buf == 10
     cut[off[:-1]] = True
@@ -186,7 +187,7 @@ def _counter(held, paragraphs: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
 def matches(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, unit: str = "line") -> DataFrame:
     """(doc_id, block_no, template, matched, template_words, containment) of each block that has at least `threshold` of a template's distinct words.
 
-    Blocks are the lines of a text, or with unit="paragraph" its paragraphs (parted by empty lines); block_no counts from 0. Words are
+    Blocks are the lines of a text, or with unit="paragraph" its paragraphs (parted by two newlines or more); block_no counts from 0. Words are
     those of `kernels`, in lower case for ASCII letters. A null text or template, and one without a word, matches nothing; a null doc_id is
     carried as null; repeated rows of documents are each reported, those of templates once. Templates of one name and several texts are
     each matched. An empty table on either side gives no rows.
