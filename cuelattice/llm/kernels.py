@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = (1 << 20) - 64
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -54,7 +54,7 @@ def _power_table(bits: int, inverse: bool) -> np.ndarray:
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """base**0 .. base**(n-1) mod 2**64, or those of the inverse."""
-    return _power_table(max(22, int(n).bit_length()), inverse)[:n]
+    return _power_table(max(20, int(n).bit_length()), inverse)[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
