@@ -227,12 +227,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS)
     stay goes altogether; one without any dropped line passes unchanged, a null or empty text too. Rows that repeat a doc_id and
     text leave one row. A null doc_id comes after all others. Other columns pass through.
     """
-    gone = dropped_lines(docs, min_chars, parts).groupBy("doc_id", "h").agg(F.collect_set("pos").alias("at"))
-    h, g_id, g_h, at, rank, rest = free(docs, "__h", "__g_id", "__g_h", "__at", "__rank", "__rest")
-    x = docs.withColumn(h, text_key())
-    x = x.join(gone.toDF(g_id, g_h, at), x["doc_id"].cast("long").eqNullSafe(F.col(g_id)) & x[h].eqNullSafe(F.col(g_h)), "left")
+    # one key for the join and for the rows that repeat: the texts are shuffled once
+    key = F.xxhash64(F.col("doc_id").cast("long"), "h")
+    gone = dropped_lines(docs, min_chars, parts).groupBy(key.alias("k")).agg(F.collect_set(F.struct("doc_id", "h", "pos")).alias("at"))
+    h, k, g_k, at, rank, rest = free(docs, "__h", "__k", "__g_k", "__at", "__rank", "__rest")
+    x = docs.withColumn(h, text_key()).withColumn(k, F.xxhash64(F.col("doc_id").cast("long"), h))
+    x = x.join(gone.toDF(g_k, at), F.col(k) == F.col(g_k), "left")
+    own = F.transform(F.filter(at, lambda z: z["doc_id"].eqNullSafe(F.col("doc_id").cast("long")) & z["h"].eqNullSafe(F.col(h))), lambda z: z["pos"])
+    x = x.withColumn(at, F.when(F.size(own) > 0, own))
     x = x.withColumn(rest, F.when(F.col(at).isNull(), F.col("text")).otherwise(_without(F.when(F.col(at).isNotNull(), F.col("text")), F.col(at))))
     x = x.where(F.col(at).isNull() | (F.regexp_replace(rest, r"\s+", "") != ""))
-    x = _one_row_each(x, [*docs.columns, rest], h, rank)
+    x = _one_row_each(x, [*docs.columns, rest], h, rank, k)
     out = {"text": F.col(rest)} | ({"n_chars": F.when(F.col(rest).isNotNull(), F.length(rest)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return x.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

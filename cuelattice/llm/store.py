@@ -63,9 +63,9 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return _one_row_each(x, docs.columns, h, rank)
 
 
-def _one_row_each(x: DataFrame, columns: list[str], h: str, rank: str) -> DataFrame:
+def _one_row_each(x: DataFrame, columns: list[str], h: str, rank: str, *parted: str) -> DataFrame:
     plain = [F.col(f"`{c}`") for c in columns if not _is_map(x, c)]
-    w = Window.partitionBy("doc_id", h).orderBy(F.xxhash64(*plain))
+    w = Window.partitionBy(*parted, "doc_id", h).orderBy(F.xxhash64(*plain))
     return x.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in columns])
 
 
