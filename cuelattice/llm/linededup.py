@@ -209,6 +209,9 @@ def _without(text: pd.Series, at: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+_without = _without.asNondeterministic()  # so that it runs once, and not again for the filter on its result
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS) -> DataFrame:
     """(doc_id, h, pos) of each line that an equal or near earlier line makes superfluous; h is the key of the document's text."""
     lines = written(line_table(docs, min_chars), "lines")
@@ -234,9 +237,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS)
     x = docs.withColumn(h, text_key()).withColumn(k, F.xxhash64(F.col("doc_id").cast("long"), h))
     x = x.join(gone.toDF(g_k, at), F.col(k) == F.col(g_k), "left")
     own = F.transform(F.filter(at, lambda z: z["doc_id"].eqNullSafe(F.col("doc_id").cast("long")) & z["h"].eqNullSafe(F.col(h))), lambda z: z["pos"])
-    x = x.withColumn(at, F.when(F.size(own) > 0, own))
+    # rows that repeat go before the texts pass through Python, which ends a partitioning that is known to Spark
+    x = _one_row_each(x.withColumn(at, F.when(F.size(own) > 0, own)), [*docs.columns, at], h, rank, k)
     x = x.withColumn(rest, F.when(F.col(at).isNull(), F.col("text")).otherwise(_without(F.when(F.col(at).isNotNull(), F.col("text")), F.col(at))))
     x = x.where(F.col(at).isNull() | (F.regexp_replace(rest, r"\s+", "") != ""))
-    x = _one_row_each(x, [*docs.columns, rest], h, rank, k)
     out = {"text": F.col(rest)} | ({"n_chars": F.when(F.col(rest).isNotNull(), F.length(rest)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return x.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
