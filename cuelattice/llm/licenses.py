@@ -35,7 +35,7 @@ TEMPLATES = (
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("permissive-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("permissive-grant", "Permission is hereby granted, free of charge, " "to any person obtaining a copy of this software and associated documentation files"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("as-is", "The software is provided as is, without warranty of any kind, express or implied"),
     ("public-domain", "This is free and unencumbered software released into the public domain."),
