@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 CJK = "㐀-䶿一-鿿豈-﫿"
 CJK_BASIC = "一-鿿"
 WIDE = {",": "，", ".": "。", "?": "？", "!": "！", ":": "：", ";": "；"}
-FILLERS = ("好", "嗯", "哎", "OK", "ok", "Ok", "對", "在", "我", "嗯嗯", "啊", "欸")
+FILLERS = tuple("嗯 嗯嗯 欸 啊 哎 好 對 我 在 ok Ok OK".split())
 TICKER_STOP = ("OK", "UI", "AM", "PM", "HD", "ID", "URL", "USD", "ETF", "CEO", "AI")
 PRONOUNS = ("他", "她", "它", "他們", "她們", "它們")
-_TAG = "(?:antml:)?(?:invoke|parameters?|function_calls|content|tool_use|tool_result)"
-TAG_RESIDUE = "|".join([rf"</?{_TAG}(?:\s[^<>]*?)?/?>", rf"</?{_TAG}(?:\s[^<>]*)?$", rf"^/?{_TAG}>", r'^[\p{L}\p{N}_:]+="[^"]*"\s*/?>', r"</?\s*$"])
-TAG_LINE = r"(?i)^</?(?:invoke|content|parameter|function_calls|antml:[a-z_]+)\b[^>]*>$"
+_TAG = "(?:antml:)?(?:" + "|".join(("tool_result", "tool_use", "content", "function_calls", "parameters?", "invoke")) + ")"
+TAG_RESIDUE = "|".join([rf"</?{_TAG}/?(?:\s[^<>]*)?>", rf"</?{_TAG}(?:\s[^<>]*)?$", rf"^/?{_TAG}>", r'^[\p{L}\p{N}_:]+="[^"]*"\s*(?:>|/>)', r"</?\s*$"])
+TAG_LINE = r"(?i)^</?(?:antml:[a-z_]+|function_calls|parameter|content|invoke)\b[^>]*>$"
 
 
 def _col(c: str | Column) -> Column:
@@ -86,7 +86,7 @@ def is_noise(wrong: str | Column, correct: str | Column) -> Column:
 def suggest_destination(wrong: str | Column) -> Column:
     """preprocess for a phrase that can be replaced blindly, terms for single characters and ASCII tokens."""
     w = strip(_col(wrong))
-    return F.when((F.length(w) >= 2) & ~w.rlike("^[A-Za-z0-9&.+#_-]+$"), "preprocess").otherwise("terms")
+    return F.when((F.length(w) >= 2) & ~w.rlike(r"^[\w&.+#-]+$"), "preprocess").otherwise("terms")
 
 
 def strip_tag_residue(c: str | Column, rounds: int = 8) -> Column:
@@ -105,7 +105,7 @@ def strip_tag_lines(c: str | Column) -> Column:
 def is_commentary(c: str | Column) -> Column:
     """Whether a line is a reviewer's remark rather than a subtitle."""
     s = strip(_col(c))
-    starts = ("→", "[", "應是「", "若上條", "但後文", "但可加逗號", "請確認", "此條通順", "原文通順", "確認為股票代號")
+    starts = "→ [ 原文通順 此條通順 請確認 確認為股票代號 但可加逗號 但後文 若上條 應是「".split()
     verdict = s.endswith("]") & s.rlike("不改|通順|確認|OK|可讀性")
     return (s != "") & (s.isin("不改]", "非 ASR 錯誤") | verdict | s.rlike("^(?:" + "|".join(x.replace("[", "\\[") for x in starts) + ")"))
 
@@ -113,7 +113,7 @@ def is_commentary(c: str | Column) -> Column:
 def delete_inline_fillers(c: str | Column) -> Column:
     """Without an opening 好 or 那 that carries nothing and a closing 啦; trimmed if that changed anything."""
     out = _col(c)
-    for pattern in (r"^好[，,]\s*", "^好(?=[我你他她它們大家那這所以])", "^那(?=這個[^人事物])", "^那(?=這個$)", "啦$"):
+    for pattern in (r"^好[，,]\s*", "^好(?=[這那所以大家們它她他你我])", "^那(?=這個[^人事物])", "^那(?=這個$)", "啦$"):
         out = F.regexp_replace(out, pattern, "")
     return F.when(out == _col(c), _col(c)).otherwise(strip(out))
 

@@ -28,7 +28,7 @@ def parse_ms(c: str | Column, pattern: str = STAMP, first: int = 1) -> Column:
 def parse_ms_strict(c: str | Column) -> Column:
     """As parse_ms, but only for HH:MM:SS,mmm with three digits and nothing around it; else null."""
     c = _col(c)
-    return F.when(c.rlike(r"^\d{2}:\d{2}:\d{2}[,.]\d{3}$"), parse_ms(c))
+    return F.when(c.rlike(r"^\d\d(?::\d\d){2}[,.]\d{3}$"), parse_ms(c))
 
 
 def parse_seconds(c: str | Column, pattern: str = STAMP, first: int = 1) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,13 +12,13 @@ from ..functions import difftools as D
 from .intervals import align_edges
 from .shared import checkpointed
 
-CATEGORIES = ("SAME", "TEXT_MOD", "SPLIT", "SPLIT+MOD", "MERGE", "MERGE+MOD", "COMPLEX_MOD", "ADD", "DEL")
+CATEGORIES = tuple("ADD DEL SAME TEXT_MOD SPLIT SPLIT+MOD MERGE MERGE+MOD COMPLEX_MOD".split())
 HOMOPHONES = {"在": "再", "長": "漲", "級": "梯", "排斥": "盤勢", "城市": "程式"}
-SOUND_ALIKE = {"固執": "估值", "電源": "晶圓"}
-BY_CONTEXT = {("回撤", "回測"), ("回測", "回撤")}
-KNOWN_FILLERS = ("這個", "好", "啦", "一個", "什麼", "的")
-TERMS = ("本益比", "市值", "級距", "均線", "估值", "晶圓")
-NEAR_TERMS = ("市值", "級距", "本益比", "本淨比")
+SOUND_ALIKE = dict(電源="晶圓", 固執="估值")
+BY_CONTEXT = set(itertools.permutations("回測 回撤".split()))
+KNOWN_FILLERS = tuple("的 啦 好 什麼 這個 一個".split())
+TERMS = tuple("均線 估值 晶圓 級距 市值 本益比".split())
+NEAR_TERMS = tuple("本淨比 本益比 級距 市值".split())
 
 
 def groups(machine: DataFrame, human: DataFrame, least_ms: int = 150) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.difftools import ratio_of
 
-CONNECTORS = ("然後", "所以", "但是", "可是", "而且", "不過", "因為", "如果", "或者", "甚至")
+CONNECTORS = tuple("因為 所以 如果 或者 而且 甚至 但是 可是 不過 然後".split())
 LIMIT = 20
 
 
@@ -82,7 +82,7 @@ def orphans_placed(cues: DataFrame) -> DataFrame:
     return x.drop("prev_end", "next_start", "run", "i", "n")
 
 
-# -- splitting -----------------------------------------------------------------------------------------------------------------
+# splitting
 
 
 def _inside_word(text: str, at: int) -> bool:
@@ -192,7 +192,7 @@ def split_cues(cues: DataFrame, forced: bool = False, words: Callable[[str], Ite
     return x.select(*cues.columns)
 
 
-# -- chunks --------------------------------------------------------------------------------------------------------------------
+# chunks
 
 
 def fixed_chunks(cues: DataFrame, size: int = 300) -> DataFrame:
@@ -235,7 +235,7 @@ def chunk_context(chunks: DataFrame, n: int = 5) -> DataFrame:
     return chunks.withColumn("ctx", F.when(F.size(before) > 0, F.array_join(lines, "\n")).otherwise(F.lit("")))
 
 
-# -- time codes from a reference ------------------------------------------------------------------------------------------------
+# time codes from a reference
 
 _CLEAN = re.compile(r"[，。、？！,.\s]")
 

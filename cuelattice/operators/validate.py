@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import timecode as tc
 
-_STRICT = r"^\s*(\d{2,}):([0-5]\d):([0-5]\d),(\d{3})\s*-->\s*(\d{2,}):([0-5]\d):([0-5]\d),(\d{3})"
+_AT = r"\d{2,}(?::[0-5]\d){2},\d{3}"
+_STRICT = rf"^\s*{_AT}\s*-->\s*{_AT}"
 
 
 def validate_srt(texts: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def validate_srt(texts: DataFrame) -> DataFrame:
 
 def strict_cue_count(texts: DataFrame) -> DataFrame:
     """(media_id, n) of the lines that are strict time lines."""
-    hits = F.filter(F.split("content", "\r?\n"), lambda z: z.rlike(r"^\d{2}:\d{2}:\d{2},\d{3} --> \d{2}:\d{2}:\d{2},\d{3}"))
+    hits = F.filter(F.split("content", "\r?\n"), lambda z: z.rlike(r"^\d\d(?::\d\d){2},\d{3} --> \d\d(?::\d\d){2},\d{3}"))
     return texts.select("media_id", F.size(hits).alias("n"))
 
 

@@ -37,6 +37,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _block(number: int, second: int, text: str) -> str:
+    at = [f"00:00:{s:02d},000" for s in (second, second + 1)]
+    return f"{number}\n{' --> '.join(at)}\n{text}"
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes)
 
@@ -45,7 +50,7 @@ W = "OVER (PARTITION BY media_id ORDER BY seq)"
 C, CT, CC = _with(CUES_SQL), _with(CUES_SQL, TWIN_SQL), _with(CUES_SQL, CLAMPED_SQL)
 CHUNKS = "spans AS (SELECT media_id, CAST((seq - seq % 3) / 3 AS INTEGER) AS span, arg_min(start_ms, seq) AS start_ms, arg_max(end_ms, seq) AS end_ms FROM cues GROUP BY media_id, CAST((seq - seq % 3) / 3 AS INTEGER))"
 
-# -- time line ----------------------------------------------------------------------------------------------------------------
+# time line
 
 
 @_query(f"""{CC},
@@ -126,7 +131,7 @@ def orphan_interpolation(spark, sf_dir):
     return sequence.orphans_placed(x)
 
 
-# -- joins over time ----------------------------------------------------------------------------------------------------------
+# joins over time
 
 
 @_query(f"""{CT} SELECT a.media_id, a.seq AS s_seq, b.seq AS a_seq, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS shared_ms
@@ -267,7 +272,7 @@ def part_ranges(spark, sf_dir):
     return intervals.part_ranges(_media(x), x.select("media_id", F.lit(1).alias("cut_no"), (F.col("end_ms") / 1000).alias("cut_s")))
 
 
-# -- versions -----------------------------------------------------------------------------------------------------------------
+# versions
 
 _STAMP = "{h}"
 
@@ -369,7 +374,7 @@ def merged_cues(spark, sf_dir):
     return merged.withColumn("text", F.array_join("text_lines", "\n")).drop("text_lines")
 
 
-# -- chunks -------------------------------------------------------------------------------------------------------------------
+# chunks
 
 
 @_query(f"{C} SELECT media_id, seq, CAST(floor(seq / 3) AS INTEGER) AS chunk FROM cues")
@@ -395,7 +400,7 @@ def context_tail(spark, sf_dir):
     return sequence.chunk_context(sequence.chunk_rows(x, "block")).select("media_id", "chunk", "entries", "ctx")
 
 
-# -- measures -----------------------------------------------------------------------------------------------------------------
+# measures
 
 _BUCKET = "CASE WHEN n <= 15 THEN '0-15' WHEN n <= 25 THEN '16-25' WHEN n <= 35 THEN '26-35' WHEN n <= 45 THEN '36-45' WHEN n <= 55 THEN '46-55' ELSE '56+' END"
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)"
@@ -492,7 +497,7 @@ def sidecar_freshness(spark, sf_dir):
 def pending_segments(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     segs = docs.where("doc_id is not null").select("doc_id", F.col("doc_id").alias("media_id"), F.lit(0).alias("seg"))
-    done = labels.select(F.col("doc_id").alias("media_id"), F.lit(0).alias("seg"), F.lit("1\n00:00:01,000 --> 00:00:02,000\nx").alias("content"))
+    done = labels.select(F.col("doc_id").alias("media_id"), F.lit(0).alias("seg"), F.lit(_block(1, 1, "x")).alias("content"))
     return overlay.pending(segs, done).select("doc_id")
 
 
@@ -515,7 +520,7 @@ def event_sessions(spark, sf_dir):
     return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-# -- differences and sequential passes (no SQL: their tests compare with plain Python) ----------------------------------------------
+# differences and sequential passes (no SQL: their tests compare with plain Python)
 
 
 def _texts(spark, sf_dir):
@@ -623,7 +628,7 @@ def repeated_grams(spark, sf_dir):
     return x.where("r is not null").select("conv_id", "turn", "r.n", "r.gram", "r.count", "r.ratio")
 
 
-# -- literal cases: texts outside the tables' languages, compared with their expected rows ------------------------------------------
+# literal cases: texts outside the tables' languages, compared with their expected rows
 
 
 def _values(rows: list[tuple], columns: str) -> str:
@@ -648,7 +653,7 @@ def _literal(name: str, cases: list[tuple[str, object]], make: Callable, kind: s
 
 _literal("fullwidth_norm", [("AWS, Google", "AWS，Google"), ("賺2,200元", "賺2,200元"), ("今天好?", "今天好？"), ("WTF!", "WTF!"), ("好 !", "好 ！"), ("10:00, 3.5", "10:00, 3.5"), ("a, 5", "a， 5"), ("", "")], tx.fullwidth_norm)
 _literal("half_to_full", [("你好,世界", "你好，世界"), ("a,b", "a,b"), ("好.", "好。"), ("ok:好", "ok：好"), ("3.5", "3.5")], tx.half_to_full)
-_literal("commas_widened", [("3,000", "3，000"), ("00:00:01,000 --> 00:00:02,000", "00:00:01,000 --> 00:00:02,000")], tx.widen_commas)
+_literal("commas_widened", [("3,000", "3，000"), (_block(1, 1, ""), _block(1, 1, ""))], tx.widen_commas)
 _literal("latin_to_half", [("ＡＷＳ１２，好", "AWS12，好"), ("abc", "abc")], tx.latin_to_half)
 _literal("dup_keys", [("今天, 大盤_好!", "今天大盤好"), ("A-b 1", "Ab1")], tx.dup_key)
 _literal("trailing_punct", [("好。", "好"), ("好，。.", "好"), ("a.b", "a.b")], tx.strip_trailing_punct)
@@ -709,7 +714,7 @@ def strict_validate(spark, sf_dir):
     return validate.validate_srt(sinks.render_srt(x))
 
 
-_BLOCKS = "1\n00:00:01,000 --> 00:00:02,000\n今天\n→ 不改\n\n2\n00:00:02,000 --> 00:00:03,000\n「好\n\n3\n00:00:03,000 --> 00:00:04,000\n[確認]\n\n4\n00:00:04,000 --> 00:00:05,000\n走</invoke>"
+_BLOCKS = "\n\n".join(_block(i, i, t) for i, t in enumerate(("今天\n→ 不改", "「好", "[確認]", "走</invoke>"), 1))
 
 
 @_query(_values([(0, "A", "今天", 1), (1, "C", "「好", None), (2, "B", "", None), (3, "A", "走", 2)], "block_seq, action, text, idx"))
@@ -720,7 +725,7 @@ def commentary_clean(spark, sf_dir):
 
 @_query("SELECT seq, CAST(start_s AS DOUBLE) AS start_s, CAST(end_s AS DOUBLE) AS end_s, text FROM (" + _values([(0, 1.0, 2.0, "a"), (1, 3.0, 4.5, "b")], "seq, start_s, end_s, text") + ") q")
 def segment_json_scan(spark, sf_dir):
-    x = srt.scan_segments(spark.createDataFrame([("m", '{"segments":[{"Start":1.0,"End":2.0,"Content":"a"},{"start":3.0,"end":4.5,"text":"b"}]}')], "media_id string, content string"))
+    x = srt.scan_segments(spark.createDataFrame([("m", '{"segments":[{"Content":"a","End":2.0,"Start":1.0},{"text":"b","end":4.5,"start":3.0}]}')], "media_id string, content string"))
     return x.select(F.col("seq").cast("int").alias("seq"), "start_s", "end_s", "text")
 
 

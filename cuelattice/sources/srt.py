@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from ..functions import timecode as tc
 
-FULL_STAMP = r"\d{1,2}:\d{2}:\d{2}[,.]\d{1,3}"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -128,13 +127,13 @@ def scan_log(texts: DataFrame) -> DataFrame:
 
 def scan_silence(texts: DataFrame) -> DataFrame:
     """(media_id, silence_end) of the silence ends that an audio tool's log reports."""
-    ends = F.regexp_extract_all("content", F.lit(r"silence_end:\s*([0-9.]+)"), F.lit(1))
+    ends = F.regexp_extract_all("content", F.lit(r"silence_end:\s*([\d.]+)"), F.lit(1))
     return texts.select("media_id", F.explode(ends).alias("e")).select("media_id", F.col("e").try_cast("double").alias("silence_end")).where("silence_end is not null")
 
 
 SEGMENTS = "array<map<string,string>>"
 _START, _END = ("Start", "start", "start_time"), ("End", "end", "end_time")
-_TEXT = ("Content", "content", "Text", "text")
+_TEXT = tuple("Content content Text text".split())
 
 
 def _list(content: Column, *wrappers: str) -> Column:

@@ -17,6 +17,11 @@ CUE = "media_id string, seq long, start_ms long, end_ms long, text string"
 SEG = "media_id string, seg int, seq long, start_ms long, end_ms long, text_lines array<string>"
 
 
+def B(number, start, end, sep=","):
+    """The head of a block: its number and its time line."""
+    return f"{number}\n" + " --> ".join(f"00:00:{t:02d}{sep}000" for t in (start, end)) + "\n"
+
+
 def cues(spark, rows, media="m"):
     return spark.createDataFrame([(media, i, *r) for i, r in enumerate(rows)], CUE)
 
@@ -29,13 +34,13 @@ def one(spark, value, make):
 
 
 def test_srt_scan_is_lenient(spark):
-    text = "﻿1\r\n00:00:01,000 --> 00:00:02,000\r\n a \r\n\r\n b\r\n\r\nbad\r\n\r\n2\r\n00:00:02.5 --> 00:00:03,000\r\n"
+    text = "﻿" + B(1, 1, 2).replace("\n", "\r\n") + " a \r\n\r\n b\r\n\r\nbad\r\n\r\n2\r\n00:00:02.5 --> 00:00:03,000\r\n"
     x = srt.scan_srt(spark.createDataFrame([("m", text)], "media_id string, content string"))
     assert [(r.seq, r.idx, r.start_ms, r.text) for r in x.orderBy("seq").collect()] == [(0, 1, 1000, "a"), (1, 2, 2005, "")]
 
 
 def test_strict_scan_needs_three_lines(spark):
-    text = "x\n00:00:01,000 --> 00:00:02,000\na\nb\n\n2\n00:00:02,000 --> 00:00:03,000"
+    text = B("x", 1, 2) + "a\nb\n\n" + B(2, 2, 3).rstrip()
     x = srt.scan_srt_strict(spark.createDataFrame([("m", text)], "media_id string, content string")).collect()
     assert [(r.seq, r.text_lines) for r in x] == [(0, ["a", "b"])]
 
@@ -88,7 +93,7 @@ def test_files_round_trip(spark, tmp_path):
 
 def test_parts_sort_by_number(spark, tmp_path):
     for n in (2, 10):
-        (tmp_path / f"x_seg_{n}_corrected.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\na\n")
+        (tmp_path / f"x_seg_{n}_corrected.srt").write_text(B(1, 1, 2) + "a\n")
     assert [r.seg for r in srt.read_parts(spark, str(tmp_path)).orderBy("seg").collect()] == [2, 10]
 
 
@@ -312,8 +317,8 @@ def test_learned_terms(spark):
 
 def test_validators(spark):
     make = lambda *t: spark.createDataFrame([(str(i), x) for i, x in enumerate(t)], "media_id string, content string")
-    good = "1\n00:00:01,000 --> 00:00:02,000 tail\na"
-    x = make(good, "00:00:01,000 --> 00:00:02,000\na", good + "\n\n2\n00:61:01,000 --> 00:62:02,000\nb", "1\n00:00:02,000 --> 00:00:02,000\na", "1\n00:00:01,000 --> 00:00:02,000", "", "1\n00:00:01.000 --> 00:00:02.000\na")
+    good = B(1, 1, 2).rstrip() + " tail\na"
+    x = make(good, B(1, 1, 2)[2:] + "a", good + "\n\n2\n00:61:01,000 --> 00:62:02,000\nb", B(1, 2, 2) + "a", B(1, 1, 2).rstrip(), "", B(1, 1, 2, ".") + "a")
     got = [(r.valid, r.n) for r in validate.validate_srt(x).orderBy("media_id").collect()]
     assert got == [(True, 1), (True, 1), (False, 1), (False, 0), (False, 0), (False, 0), (False, 0)]
     seg = srt.scan_segments(make('[{"type":"meta","x":1},{"start":0,"end":1,"text":"a"}]', '[{"start":0,"end":1,"text":""}]'))
@@ -323,7 +328,7 @@ def test_validators(spark):
 
 
 def test_commentary_is_idempotent(spark):
-    text = "1\n00:00:01,000 --> 00:00:02,000\n今天\n→ x\n\nloose block\n\n2\n00:00:02,000 --> 00:00:03,000\n走</content>"
+    text = B(1, 1, 2) + "今天\n→ x\n\nloose block\n\n" + B(2, 2, 3) + "走</content>"
     make = lambda t: spark.createDataFrame([("m", t)], "media_id string, content string")
     once = commentary.rendered(commentary.clean(srt.scan_blocks(make(text)))).first().content
     assert once == commentary.rendered(commentary.clean(srt.scan_blocks(make(once)))).first().content
@@ -334,7 +339,7 @@ def test_external_calls(spark):
     def model(text):
         if text == "bad":
             raise ValueError("no")
-        return f"1\n00:00:01,000 --> 00:00:02,000\n{text}"
+        return "1\n" + "00:00:01,000" + " --> " + "00:00:02,000\n" + text
 
     x = spark.createDataFrame([("m", 0, "a"), ("m", 1, "bad")], "media_id string, seg int, original string")
     got = external.corrected_or_original(external.called(x, model, ["original"], retries=1), "original").orderBy("seg").collect()
