@@ -19,6 +19,7 @@ from . import kernels as K
 from .store import text_key, without_rows, written
 
 COORDINATES, SHINGLE, THRESHOLD, SEED = 64, 3, 26, 20240501
+BLOCK = 1000
 
 
 def _multipliers(n: int, seed: int) -> np.ndarray:
@@ -57,12 +58,39 @@ def signatures(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = S
     return named.mapInArrow(run, "doc_id long, h long, sig array<int>")
 
 
+def every_near_pair(
+    docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: int = THRESHOLD, seed: int = SEED, block: int = BLOCK
+) -> DataFrame:
+    """All pairs of documents of which at least `threshold` signature coordinates agree: (doc_a < doc_b, matches).
+
+    Each signature is searched for once; each pair of signatures found, and each signature with itself, is then listed for all
+    documents that have them: n copies give n*(n-1)/2 pairs. A doc_id of several texts counts by each of them; a pair appears
+    once, with its most matches, and no doc_id is paired with itself. Rows of null id, null text or no word are in no pair.
+    """
+    sigs = written(signatures(docs, coordinates, shingle, seed), "minhash-signatures")
+    keys = [F.xxhash64("sig").alias("g1"), F.xxhash64(F.lit(seed), "sig").alias("g2")]
+    groups = sigs.select("doc_id", *keys, "sig").groupBy("g1", "g2").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("n"))
+    # numbered, as an id of two texts may be the least of two signatures
+    groups = written(groups.withColumns({"g": F.monotonically_increasing_id(), "parts": F.ceil(F.col("n") / block).cast("int")}), "minhash-groups")
+    # ids in blocks, so that a row of the joins stands for few pairs however many copies there are
+    ids = sigs.select("doc_id", *keys).join(groups.select("g1", "g2", "g", "parts"), ["g1", "g2"])
+    blocks = written(ids.groupBy("g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")).agg(F.collect_set("doc_id").alias("ids")), "minhash-members")
+    x = _rep_pairs(groups.select(F.col("g").alias("doc_id"), "sig"), threshold).toDF("a", "b", "matches")
+    x = x.unionByName(groups.where("n > 1").select(F.col("g").alias("a"), F.col("g").alias("b"), F.lit(coordinates).alias("matches")))
+    for g, part in (("a", "pa"), ("b", "pb")):
+        x = x.join(groups.select(F.col("g").alias(g), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(part)), g)
+    x = x.join(blocks.toDF("a", "pa", "ids_a"), ["a", "pa"]).join(blocks.toDF("b", "pb", "ids_b"), ["b", "pb"])
+    x = x.select("a", "b", "matches", "ids_b", F.explode("ids_a").alias("i")).select("a", "b", "matches", "i", F.explode("ids_b").alias("j"))
+    x = x.where("if(a = b, i < j, i != j)").groupBy(F.least("i", "j").alias("doc_a"), F.greatest("i", "j").alias("doc_b"))
+    return x.agg(F.max("matches").alias("matches"))
+
+
 def near_pairs(
     docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, threshold: int = THRESHOLD, seed: int = SEED
 ) -> DataFrame:
-    """Pairs of documents of which at least `threshold` signature coordinates agree: (doc_a < doc_b, matches).
+    """Pairs that connect all documents of which at least `threshold` signature coordinates agree: (doc_a < doc_b, matches).
 
-    Documents of one signature (exact copies among them) are compared as one, by their least doc_id; each other one is paired
+    Not each such pair (`every_near_pair` has them), but enough for their groups: documents of one signature (exact copies among them) are compared as one, by their least doc_id; each other one is paired
     with that, so that n copies give n-1 pairs and not n*n/2. A document of null id, or null text, or no word is in no pair;
     repeated rows of a doc_id and text count once; a doc_id isn't paired with itself. No pairs of an empty table.
     Every pair of two signatures that agree on `threshold` coordinates is found, whatever the length of its lists.

@@ -1,0 +1,44 @@
+"""The registered MinHash query lists every pair above the threshold, copies among them."""
+
+import random
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from brute import DOCS
+from test_text_operators import corpus, frame
+
+import __spark_entry__
+from cuelattice.llm import minhash
+
+
+def brute(rows):
+    has, sigs = minhash.signature_rows(pa.array([t for _, t in rows]), minhash.COORDINATES, minhash.SHINGLE, minhash.SEED)
+    docs = list(zip([i for (i, _), h in zip(rows, has) if h], sigs))
+    out = {}
+    for (i, s), (j, t) in combinations(docs, 2):
+        n = int(np.sum(s == t))
+        if i != j and n >= minhash.THRESHOLD:
+            out[min(i, j), max(i, j)] = max(n, out.get((min(i, j), max(i, j)), 0))
+    return out
+
+
+def test_query_lists_every_pair(spark, tmp_path):
+    texts = corpus(random.Random(2))
+    texts += [texts[0]] * 4 + [texts[40]] * 3
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = __spark_entry__.queries()["op4_minhash"](spark, str(tmp_path)).collect()
+    got = {(r.doc_a, r.doc_b): r.matches for r in rows}
+    assert got == brute(list(enumerate(texts))) and len(got) == len(rows) > 50
+
+
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_ids_of_two_texts_and_repeated_rows(spark, block):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "quite another text that has nothing to do with the first of them at all"
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b), (4, b), (5, a + " thirteen"), (2, a), (None, a), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    found = minhash.every_near_pair(docs, block=block).collect()
+    want = brute([r for r in rows if r[0] is not None and r[1] is not None])
+    assert {(r.doc_a, r.doc_b): r.matches for r in found} == want and len(found) == len(want)
+    assert (3, 4) in want and (2, 3) not in want
