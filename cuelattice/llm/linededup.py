@@ -25,6 +25,7 @@ from . import kernels as K
 from .store import _one_row_each, free, text_key, written
 
 MIN_CHARS, PARTS = 20, 16
+NEAR_CHARS = 10
 BROADCAST_ROWS = 1_000_000
 U64 = np.uint64
 _BASE2 = 0xC2B2AE3D27D4EB4F
@@ -55,7 +56,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _line_rows(batch: pa.RecordBatch, min_chars: int) -> Iterator[pa.RecordBatch]:
+def _line_rows(batch: pa.RecordBatch, min_chars: int, short: bool) -> Iterator[pa.RecordBatch]:
     for lo, hi, buf, off in K.pieces(batch.column(2)):
         u, off = _points(buf, off)
         cut = np.flatnonzero(u == 10)
@@ -68,6 +69,9 @@ def _line_rows(batch: pa.RecordBatch, min_chars: int) -> Iterator[pa.RecordBatch
         row = np.repeat(np.arange(hi - lo), many)
         pos = np.arange(len(starts)) - np.repeat(np.cumsum(many) - many, many)
         ok = ends - starts >= max(2, min_chars)
+        if short:
+            inked = np.concatenate([[0], np.cumsum((u != 32) & ((u < 9) | (u > 13)))])
+            ok = inked[ends] > inked[starts]
         s, e, row, pos = starts[ok], ends[ok], row[ok], pos[ok]
         n = e - s
         r = _running(u)
@@ -95,12 +99,12 @@ def _content(u: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return K.mix((r[e] - r[s]) * down[s])
 
 
-def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, h, pos, n, k1, k2, p0..p3) of each line of at least min_chars code points: keys of the whole and of its halves."""
+def line_table(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    """(doc_id, h, pos, n, k1, k2, p0..p3) of each line of at least min_chars code points: keys of the whole and of its halves. With short: of each line that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from _line_rows(b, min_chars)
+            yield from _line_rows(b, min_chars, short)
 
     schema = "doc_id long, h long, pos int, n int, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long"
     return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("h"), "text").mapInArrow(run, schema)
@@ -212,27 +216,28 @@ def _without(text: pd.Series, at: pd.Series) -> pd.Series:
 _without = _without.asNondeterministic()  # so that it runs once, and not again for the filter on its result
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS, short: bool = False) -> DataFrame:
     """(doc_id, h, pos) of each line that an equal or near earlier line makes superfluous; h is the key of the document's text."""
-    lines = written(line_table(docs, min_chars), "lines")
-    firsts = lines.groupBy(*_LINE_KEY).agg(F.min(_order()).alias("f"), F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in ("p0", "p1", "p2", "p3")])
+    lines = written(line_table(docs, min_chars, short), "lines")
+    firsts = lines.groupBy(*_LINE_KEY).agg(F.min(_order()).alias("f"), F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")])
     firsts = written(firsts, "lines-first")
-    late = near_lines(docs, lines, firsts, parts).withColumn("late", F.lit(True))
+    late = near_lines(docs, lines, firsts.where(F.col("n") >= min_chars), parts).withColumn("late", F.lit(True))
     verdict = firsts.join(late, _LINE_KEY, "left").where("times > 1 or late").select(*_LINE_KEY, "f", F.coalesce("late", F.lit(False)).alias("late"))
     return lines.join(verdict, _LINE_KEY).where(F.col("late") | (F.col("f") != _order())).select("doc_id", "h", "pos").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS, short: bool = False) -> DataFrame:
     """docs without the lines that repeat, or nearly repeat, an earlier line of any document; n_chars (if there) is counted anew.
 
-    Lines are what "\\n" separates; lines of fewer than min_chars code points always stay. Near is transitive in no way: a line goes
+    Lines are what "\\n" separates; lines of fewer than min_chars code points always stay; with short, they go if they equal
+    an earlier line, and only those of ASCII white space always stay. Near is transitive in no way: a line goes
     if some earlier line is within one edit, whether that line itself stays or not. A document of which only blank lines would
     stay goes altogether; one without any dropped line passes unchanged, a null or empty text too. Rows that repeat a doc_id and
     text leave one row. A null doc_id comes after all others. Other columns pass through.
     """
     # one key for the join and for the rows that repeat: the texts are shuffled once
     key = F.xxhash64(F.col("doc_id").cast("long"), "h")
-    gone = dropped_lines(docs, min_chars, parts).groupBy(key.alias("k")).agg(F.collect_set(F.struct("doc_id", "h", "pos")).alias("at"))
+    gone = dropped_lines(docs, min_chars, parts, short).groupBy(key.alias("k")).agg(F.collect_set(F.struct("doc_id", "h", "pos")).alias("at"))
     h, k, g_k, at, rank, rest = free(docs, "__h", "__k", "__g_k", "__at", "__rank", "__rest")
     x = docs.withColumn(h, text_key()).withColumn(k, F.xxhash64(F.col("doc_id").cast("long"), h))
     x = x.join(gone.toDF(g_k, at), F.col(k) == F.col(g_k), "left")

@@ -32,6 +32,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), linededup.NEAR_CHARS, short=True)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +57,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_toxicity, op2_reply_trees, op3_mixing, op4_minhash, op5_line_dedup, op6_decontamination, op7_embedding_dedup, op8_lm_scoring, op9_quality, op10_licenses)
+    ops = (op1_toxicity, op2_reply_trees, op3_mixing, op4_minhash, op5_line_dedup, op5_line_dedup_all, op6_decontamination, op7_embedding_dedup, op8_lm_scoring, op9_quality, op10_licenses)
     return {f.__name__: f for f in ops}
 
 
@@ -62,6 +66,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_reply_trees": chat.best_branches_sql(),
         "op3_mixing": mixing.mixture_sql(),
         "op5_line_dedup": sql_lines.dedup_lines_sql(linededup.MIN_CHARS),
+        "op5_line_dedup_all": sql_lines.dedup_every_line_sql(linededup.NEAR_CHARS),
         "op7_embedding_dedup": covertree.near_pairs_sql(),
         "op10_licenses": licenses.matches_sql(),
     }
