@@ -703,7 +703,7 @@ def srt_roundtrip(spark, sf_dir):
 @_query(f"{C} SELECT CAST(media_id AS VARCHAR) AS media_id, row_number() {W} - 1 AS seq, start_ms, end_ms, trim(split_part(text, chr(10), 1)) AS text FROM cues WHERE trim(split_part(text, chr(10), 1)) <> ''")
 def log_reconstruct(spark, sf_dir):
     stamp = lambda c: F.replace(tc.format_ms(c), F.lit(","), F.lit("."))
-    line = F.concat(F.lit("["), stamp("start_ms"), F.lit(" --> "), stamp("end_ms"), F.lit("] "), F.split("text", "\n")[0])
+    line = F.concat(F.lit("["), stamp("start_ms"), F.lit(" --> "), stamp("end_ms"), F.lit("] "), "text")  # further lines of a turn have no stamp and aren't part of a cue
     x = cues(spark, sf_dir).groupBy(F.col("media_id").cast("string").alias("media_id")).agg(F.sort_array(F.collect_list(F.struct("seq", line.alias("l")))).alias("l"))
     return srt.scan_log(x.select("media_id", F.concat(F.array_join(F.transform("l", lambda z: z["l"]), "\n"), F.lit("\nTraceback (most recent call last):\n[00:01.000 --> 00:02.000] gone")).alias("content")))
 
