@@ -206,6 +206,12 @@ def repetition(c: str | Column, ratio: float = 0.8, least: int = 10) -> Column:
     for n in (1, 2, 3):
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), _gram(t, n))
         sorted_grams = F.array_sort(grams)
+        if ratio > 0.5:  # then only the gram in the middle of the sorted ones can make the ratio
+            middle = F.element_at(sorted_grams, F.floor(F.size(grams) / 2).cast("int") + 1)
+            best = F.struct((F.size(grams) - F.size(F.array_remove(grams, middle))).alias("count"), middle.alias("gram"))
+            share = best["count"] / F.size(grams)
+            found.append(F.when((F.length(t) >= 10) & (best["count"] >= least) & (share >= ratio), F.struct(F.lit(n).alias("n"), best["gram"].alias("gram"), best["count"].alias("count"), share.alias("ratio"))))
+            continue
         # the commonest gram by one pass over the sorted grams would lose the order; few distinct grams are the case that counts
         best = F.array_max(F.transform(F.array_distinct(sorted_grams), lambda x: F.struct((F.size(grams) - F.size(F.array_remove(grams, x))).alias("count"), (-F.array_position(grams, x)).alias("at"), x.alias("gram"))))
         share = best["count"] / F.size(grams)

@@ -628,6 +628,13 @@ def repeated_grams(spark, sf_dir):
     return x.where("r is not null").select("conv_id", "turn", "r.n", "r.gram", "r.count", "r.ratio")
 
 
+@_query()
+def repeated_grams_text(spark, sf_dir):
+    """Every turn, judged by its whole text; nulls where nothing repeats."""
+    x = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.repetition("text").alias("r"))
+    return x.select("conv_id", "turn", "r.n", "r.gram", "r.count", "r.ratio")
+
+
 # literal cases: texts outside the tables' languages, compared with their expected rows
 
 

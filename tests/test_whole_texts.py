@@ -1,5 +1,8 @@
 """Queries that have to see the whole of a turn's text."""
 
+import re
+from collections import Counter
+
 from cuelattice.plans import catalog
 from cuelattice.sources import srt
 
@@ -12,3 +15,22 @@ def test_log_scan_meets_every_line(spark, tmp_path, monkeypatch):
     got = [(r.seq, r.text) for r in catalog.queries()["log_reconstruct"](spark, str(tmp_path)).orderBy("seq").collect()]
     assert said in given[0] and "only a second line" in given[0]
     assert got == [(0, "first line"), (1, "last")]
+
+
+def judged(text):
+    t = re.sub(r"[，,。！？、\s]", "", text)
+    for n in (1, 2, 3):
+        grams = [t[i : i + n] for i in range(max(1, len(t) - n + 1))]
+        gram, count = Counter(grams).most_common(1)[0]
+        if len(t) >= 10 and count >= 10 and count / len(grams) >= 0.8:
+            return n, gram, count, count / len(grams)
+    return None, None, None, None
+
+
+def test_repetition_judges_whole_turns(spark, tmp_path):
+    texts = ["the turn begins as any other does", "啊" * 30 + "好", "x" + "哈，" * 40, "aaaaaaaaaaaab" * 9, "aaaa" + "b" * 6, "", "no" * 40, "ab" * 3 + "z" * 90, "你" * 8 + "好" * 3]
+    rows = [(1, i, "user", t) for i, t in enumerate([*texts, None])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: (r.n, r.gram, r["count"], r.ratio) for r in catalog.queries()["repeated_grams_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: judged(t) for i, t in enumerate(texts)} | {len(texts): (None,) * 4}
+    assert sorted(i for i in got if got[i][0]) == [1, 2, 3, 7]
