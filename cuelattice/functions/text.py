@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -196,22 +196,31 @@ def _gram(t: Column, n: int):
     return lambda i: F.substring(t, i, F.lit(n))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body has it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def _grams(t: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), _gram(t, n))
+
+
+def _found(t: Column, n: int, gram: Column, count: Column, share: Column, least: int, ratio: float) -> Column:
+    return F.when((F.length(t) >= 10) & (count >= least) & (share >= ratio), F.struct(F.lit(n).alias("n"), gram.alias("gram"), count.alias("count"), share.alias("ratio")))
+
+
 def repetition(c: str | Column, ratio: float = 0.8, least: int = 10) -> Column:
     """Struct (n, gram, count, ratio) of the smallest n of 1, 2, 3 whose commonest gram makes `ratio` of all n-grams and occurs `least` times; null if none.
 
     Of equally common grams the first counts. Texts of fewer than 10 characters, without punctuation and white space, have none.
     """
     t = F.regexp_replace(_col(c), r"(?U)[，,。！？、\s]", "")
+    if ratio > 0.5:  # then only the gram in the middle of the sorted ones can make the ratio
+        return _let(t, lambda t: F.coalesce(*[_let(_grams(t, n), lambda g, n=n: _let(F.sort_array(g)[F.floor(F.size(g) / 2).cast("int")], lambda x: _let(F.size(g) - F.size(F.array_remove(g, x)), lambda k: _found(t, n, x, k, k / F.size(g), least, ratio)))) for n in (1, 2, 3)]))
     found = []
     for n in (1, 2, 3):
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), _gram(t, n))
         sorted_grams = F.array_sort(grams)
-        if ratio > 0.5:  # then only the gram in the middle of the sorted ones can make the ratio
-            middle = F.element_at(sorted_grams, F.floor(F.size(grams) / 2).cast("int") + 1)
-            best = F.struct((F.size(grams) - F.size(F.array_remove(grams, middle))).alias("count"), middle.alias("gram"))
-            share = best["count"] / F.size(grams)
-            found.append(F.when((F.length(t) >= 10) & (best["count"] >= least) & (share >= ratio), F.struct(F.lit(n).alias("n"), best["gram"].alias("gram"), best["count"].alias("count"), share.alias("ratio"))))
-            continue
         # the commonest gram by one pass over the sorted grams would lose the order; few distinct grams are the case that counts
         best = F.array_max(F.transform(F.array_distinct(sorted_grams), lambda x: F.struct((F.size(grams) - F.size(F.array_remove(grams, x))).alias("count"), (-F.array_position(grams, x)).alias("at"), x.alias("gram"))))
         share = best["count"] / F.size(grams)
