@@ -618,7 +618,8 @@ def postprocess_pass(spark, sf_dir):
 @_query()
 def distinct_frames(spark, sf_dir):
     x = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    bits = F.aggregate(F.expr("transform(slice(embedding, 1, 63), x -> if(x > 0, 1L, 0L))"), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    # one sign a bit of the hash: vectors of more than 64 dimensions are told apart by their first 64
+    bits = F.aggregate(F.expr("transform(slice(embedding, 1, 64), x -> if(x > 0, 1L, 0L))"), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
     return sequence.distinct_frames(x.select(F.col("label").alias("media_id"), F.col("vec_id").alias("seq"), bits.alias("hash")))
 
 

@@ -1,4 +1,4 @@
-"""Queries that have to see the whole of a turn's text."""
+"""Queries that have to see the whole of a text or vector."""
 
 import re
 from collections import Counter
@@ -34,3 +34,10 @@ def test_repetition_judges_whole_turns(spark, tmp_path):
     got = {r.turn: (r.n, r.gram, r["count"], r.ratio) for r in catalog.queries()["repeated_grams_text"](spark, str(tmp_path)).collect()}
     assert got == {i: judged(t) for i, t in enumerate(texts)} | {len(texts): (None,) * 4}
     assert sorted(i for i in got if got[i][0]) == [1, 2, 3, 7]
+
+
+def test_frames_differ_in_the_last_dimension(spark, tmp_path):
+    a = [1.0] * 64
+    b = [-1.0] * 7 + [1.0] * 56 + [-1.0]  # 8 signs, the last among them
+    spark.createDataFrame([(1, a, 0), (2, b, 0), (3, a, 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r.seq for r in catalog.queries()["distinct_frames"](spark, str(tmp_path)).collect()) == [1, 2]
