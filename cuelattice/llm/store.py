@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,13 +81,41 @@ def arrow_function(fn, returns: T.DataType):
     return F.arrow_udf(fn, returns)
 
 
+_KEPT: collections.OrderedDict = collections.OrderedDict()
+
+
+def kept(key: str, most: int, make: Callable):
+    """make(), once in each worker process for each key: of the keys used last, `most` are kept (all parts of what a stage lays against its rows)."""
+    if key in _KEPT:
+        _KEPT.move_to_end(key)
+    else:
+        while len(_KEPT) >= max(1, most):
+            _KEPT.popitem(last=False)
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SMALL_ROWS = 200_000
+SMALL_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """With a broadcast hint if a count finds at most so many (narrow) rows; beyond that, Spark's own choice of join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(c: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        each = kind.elementType
+        return F.coalesce(F.size(c), F.lit(0)) * (24 + 8 * len(each) if isinstance(each, T.StructType) else 16) + 24
+    return F.lit(16)
+
+
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """With a broadcast hint if a sum over all its rows finds at most so many bytes; beyond that, Spark's own choice of join.
+
+    Arrays count by their length, with elements of fixed width: not for arrays of strings.
+    """
+    size = df.agg(F.sum(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df

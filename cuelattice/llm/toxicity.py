@@ -3,11 +3,16 @@
 A document is a bag of sentences. Each sentence has a logistic score over hashed features (its words and their beginnings); the
 document's probability is the noisy-or of its sentences', 1 - prod(1 - s). The weights are trained through that from document
 labels alone, and then the sentence scores say where the offence is.
+
+In logarithms the noisy-or is a sum of intensities -log(1 - s). Every clean sentence has a small one, and in a text of thousands of
+sentences these would add up to a verdict. So the intensity that nearly all sentences of the clean training documents stay below is
+the background; only what a sentence has above it counts, however many sentences share the evidence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .sampling import labelled
+from .sampling import SAMPLE_BYTES, labelled
 from .store import arrow_function
 
-PER_CLASS, BITS, PREFIXES, STEPS, MIN_DOCS, THRESHOLD = 3000, 20, (4, 5), 150, 4, 0.5
+PER_CLASS, BITS, PREFIXES, STEPS, MIN_DOCS, SHRINK, THRESHOLD = 3000, 20, (4, 5, 6, 7), 150, 4, 0.006, 0.5
+BACKGROUND = 0.99  # this share of the clean sentences trained on count as no evidence
 U64 = np.uint64
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -33,8 +39,9 @@ def sentences(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     Each row of at least one byte has at least one; a wordless piece counts as a sentence too.
     """
     cut = np.zeros(len(buf) + 1, bool)
-    cut[1:] = buf == 10
-    cut[2:] |= _SPACE[buf[1:]] & _ENDS[buf[:-1]]
+    cut[2:] = _SPACE[buf[1:]] & _ENDS[buf[:-1]]
+    cut[np.minimum(off[:-1] + 1, len(buf))] = False  # the stop before a row's first byte is another row's
+    cut[1:] |= buf == 10
     cut[off[:-1]] = True
     cut[len(buf)] = False
     starts = np.flatnonzero(cut)
@@ -53,12 +60,27 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return (np.concatenate(f) >> U64(64 - BITS)).astype(np.int64), np.concatenate(at), starts, first
 
 
-def train_rows(texts: pa.Array, y: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias. All zero weights and a bias of -20 without documents of both labels."""
+@dataclass(frozen=True)
+class Model:
+    weights: np.ndarray
+    bias: float
+    background: float  # intensity of a sentence that is no evidence
+
+
+def _intensity(z: np.ndarray) -> np.ndarray:
+    """-log(1 - s) of sentences of logit z."""
+    return np.log1p(np.exp(np.clip(z, -30, 30)))
+
+
+def train_rows(texts: pa.Array, y: np.ndarray, steps: int = STEPS, min_docs: int = MIN_DOCS, shrink: float = SHRINK) -> Model:
+    """Fitted by Adam with a shrinkage of the weights after each step, on features of at least min_docs documents.
+
+    Without documents of both labels all weights are zero and the bias is -20: nothing is found then.
+    """
     weights = np.zeros(1 << BITS, np.float32)
     if len(y) == 0 or y.min() == y.max():
-        return weights, -20.0
-    feats, sents, rows, n_sent, = [], [], [], 0
+        return Model(weights, -20.0, 0.0)
+    feats, sents, rows, n_sent = [], [], [], 0
     for lo, _, buf, off in K.pieces(texts):
         f, at, starts, first = tokens(buf, off)
         sent = np.searchsorted(starts, at, "right") - 1
@@ -69,7 +91,7 @@ def train_rows(texts: pa.Array, y: np.ndarray, steps: int = STEPS) -> tuple[np.n
         n_sent += len(starts)
     f, sent, row = np.concatenate(feats), np.concatenate(sents), np.concatenate(rows)
     in_doc = np.unique(row[sent] * (1 << BITS) + f) & ((1 << BITS) - 1)
-    used = np.flatnonzero(np.bincount(in_doc, minlength=1 << BITS) >= MIN_DOCS)
+    used = np.flatnonzero(np.bincount(in_doc, minlength=1 << BITS) >= min_docs)
     dense = np.full(1 << BITS, -1)
     dense[used] = np.arange(len(used))
     keep = dense[f] >= 0
@@ -80,7 +102,7 @@ def train_rows(texts: pa.Array, y: np.ndarray, steps: int = STEPS) -> tuple[np.n
     for t in range(1, steps + 1):
         z = np.clip(np.bincount(sent, w[f], n_sent) + b, -30, 30)
         s = 1 / (1 + np.exp(-z))
-        a = np.bincount(row, np.log1p(np.exp(z)), len(y))  # -log of the probability that no sentence offends
+        a = np.bincount(row, _intensity(z), len(y))  # -log of the probability that no sentence offends
         slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(a, 50)), 1e-2), 1.0) * balance
         g_sent = slope[row] * s
         g = np.bincount(f, g_sent[sent], len(used)) + 2e-6 * w
@@ -90,39 +112,42 @@ def train_rows(texts: pa.Array, y: np.ndarray, steps: int = STEPS) -> tuple[np.n
         rate = 0.15
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * 0.3 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-        w = np.sign(w) * np.maximum(np.abs(w) - 0.004, 0)  # rare chance features fall back to nothing
+        w = np.sign(w) * np.maximum(np.abs(w) - shrink, 0)  # rare chance features fall back to nothing
     weights[used] = w
-    return weights, float(b)
+    w = weights[used].astype(float)  # as they are kept
+    clean = _intensity(np.bincount(sent, w[f], n_sent) + b)[(y == 0)[row]]
+    return Model(weights, float(b), float(np.quantile(clean, BACKGROUND)) if len(clean) else 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    """Trained in one task on at most per_class labelled documents of each class (see `sampling.labelled`), whole texts."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Trained in one task on at most per_class labelled documents of each class and sample_bytes of text (see `sampling.labelled`), whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches), pa.schema([("y", pa.int32()), ("text", pa.string())]))
-        w, b = train_rows(t.column("text").cast(pa.large_string()).combine_chunks(), t.column("y").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["w", "b"])
+        m = train_rows(t.column("text").cast(pa.large_string()).combine_chunks(), t.column("y").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.background])], names=["w", "b", "g"])
 
-    sample = labelled(docs, labels, "toxic", per_class).orderBy("doc_id").select("y", "text").coalesce(1)
-    got = sample.mapInArrow(run, "w binary, b double").collect()
-    return (np.frombuffer(got[0].w, np.float32), got[0].b) if got else (np.zeros(1 << BITS, np.float32), -20.0)
+    sample = labelled(docs, labels, "toxic", per_class, sample_bytes).orderBy("doc_id").select("y", "text").coalesce(1)
+    got = sample.mapInArrow(run, "w binary, b double, g double").collect()
+    return Model(np.frombuffer(got[0].w, np.float32), got[0].b, got[0].g) if got else Model(np.zeros(1 << BITS, np.float32), -20.0, 0.0)
 
 
-def locate_rows(texts: pa.Array, w: np.ndarray, b: float, threshold: float) -> list[list[dict]]:
-    """Of each text, if its noisy-or reaches threshold: its sentences that do so too."""
+def locate_rows(texts: pa.Array, m: Model, threshold: float) -> list[list[dict]]:
+    """Of each text, if its noisy-or reaches threshold: its sentences that do so alone, or else the strongest of them (the first of equals)."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     for lo, hi, buf, off in K.pieces(texts):
         f, at, starts, first = tokens(buf, off)
-        x = w[f]
+        x = m.weights[f]
         hit = x != 0
         f, x, sent = f[hit], x[hit], np.searchsorted(starts, at[hit], "right") - 1
         key, one = np.unique((sent << BITS) | f, return_index=True)
-        z = np.clip(np.bincount(sent[one], x[one], len(starts)) + b, -30, 30)
-        total = np.bincount(K.row_of(first), np.log1p(np.exp(z)), hi - lo)
-        s = 1 / (1 + np.exp(-z))
+        above = np.maximum(_intensity(np.bincount(sent[one], x[one], len(starts)) + m.bias) - m.background, 0)
+        total = np.bincount(K.row_of(first), above, hi - lo)
+        s = 1 - np.exp(-above)
         for i in np.flatnonzero(1 - np.exp(-total) >= threshold):
             own = np.arange(first[i], first[i + 1])
-            for j in own[s[own] >= threshold]:
+            found = own[s[own] >= threshold]
+            for j in found if len(found) else own[[s[own].argmax()]]:
                 end = starts[j + 1] if j + 1 < first[i + 1] else off[i + 1]
                 text = buf[starts[j] : end].tobytes().decode("utf-8", "replace").strip()
                 out[lo + i].append({"sentence_no": int(j - first[i]), "sentence": text, "sentence_score": float(s[j]), "doc_score": float(1 - np.exp(-total[i]))})
@@ -133,23 +158,23 @@ _FOUND = T.ArrayType(T.StructType([T.StructField("sentence_no", T.IntegerType())
 _ARROW = pa.list_(pa.struct([("sentence_no", pa.int32()), ("sentence", pa.string()), ("sentence_score", pa.float64()), ("doc_score", pa.float64())]))
 
 
-def _locator(held, b: float, threshold: float) -> Callable[[pa.Array], pa.Array]:
+def _locator(held, bias: float, background: float, threshold: float) -> Callable[[pa.Array], pa.Array]:
     def locate(texts: pa.Array) -> pa.Array:
-        return pa.array(locate_rows(texts, held.value, b, threshold), _ARROW)
+        return pa.array(locate_rows(texts, Model(held.value, bias, background), threshold), _ARROW)
 
     return locate
 
 
-def offending_sentences(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, sentence_no, sentence, sentence_score, doc_score) of each offending sentence of each document found toxic.
+def offending_sentences(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, sentence_no, sentence, sentence_score, doc_score) of the offending sentences of each document found toxic.
 
-    sentence_no counts from 0. A document is found toxic if its noisy-or reaches the threshold and a sentence of it does so alone: in a very
-    long text the small chances of thousands of clean sentences add up, and nothing in it could be shown as the offence. Null
+    sentence_no counts from 0. A document is found toxic if the noisy-or of what its sentences have above the background reaches
+    the threshold. Its sentences that reach it alone are reported, or the strongest one where only several together do. Null
     and empty texts have no sentences. A null doc_id is carried as null; repeated rows are each reported. Without labels of
-    both classes nothing is found; an empty table gives no rows.
+    both classes nothing is found; an empty table gives no rows. Extra columns of either table don't pass.
     """
-    w, b = train(docs, labels, per_class)
-    held = docs.sparkSession.sparkContext.broadcast(w)  # 4 * 2**BITS bytes, whatever the data
-    udf = arrow_function(_locator(held, b, threshold), _FOUND)
+    m = train(docs, labels, per_class, sample_bytes)
+    held = docs.sparkSession.sparkContext.broadcast(m.weights)  # 4 * 2**BITS bytes, whatever the data
+    udf = arrow_function(_locator(held, m.bias, m.background, threshold), _FOUND)
     x = docs.where("text is not null").select("doc_id", udf("text").alias("o"))
     return x.where(F.size("o") > 0).select("doc_id", F.explode("o").alias("z")).select("doc_id", "z.*")

@@ -62,6 +62,14 @@ def test_toxicity_points_at_the_sentence(spark):
     got = toxicity.offending_sentences(docs, lab).collect()
     assert {(r.doc_id, r.sentence_no) for r in got} == {(i, i % 6) for i in range(0, 300, 3)}
     assert all(("vile" in r.sentence or "scum" in r.sentence) and r.doc_score >= r.sentence_score - 1e-9 for r in got)
+    for threshold in (0.5, 0.9999):  # evidence that only several sentences have together: the strongest one is shown
+        m = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), -0.8, 0.02)
+        found = toxicity.locate_rows(pa.array(["One. Two. Three.", "One."]), m, threshold)
+        z = np.log1p(np.exp(-0.8)) - 0.02
+        want = 1 - np.exp(-3 * z)
+        assert [len(x) for x in found] == [int(want >= threshold), 0]
+        for r in found[0]:
+            assert (r["sentence_no"], r["sentence"]) == (0, "One.") and np.allclose([r["sentence_score"], r["doc_score"]], [1 - np.exp(-z), want])
     long = spark.createDataFrame([(1, " ".join(clean() for _ in range(20_000)), "en", "s", 1)], DOCS)
     assert toxicity.offending_sentences(docs.unionByName(long).where("doc_id % 3 != 0"), lab).count() == 0
 
@@ -70,3 +78,41 @@ def test_sentences():
     buf, off = np.frombuffer(b"A b. C!\nD", np.uint8), np.array([0, 9, 9])
     starts, first = toxicity.sentences(buf, off)
     assert [buf[a:].tobytes()[:1] for a in starts] == [b"A", b"C", b"D"] and list(first) == [0, 3, 3]
+
+
+def test_noisy_or_by_hand():
+    """Training steps and scores against plain loops over documents, sentences and words."""
+    texts, y = ["bad one. fine day.", "fine day.", "bad bad. bad.", "fine one.", "day one."], np.array([1, 0, 1, 0, 0])
+    m = toxicity.train_rows(pa.array(texts), y, steps=3, min_docs=1, shrink=0.01)
+    cut = [[s.strip(" .").split(" ") for s in t.split(". ")] for t in texts]
+    names = sorted({w for d in cut for s in d for w in s})
+    w, b = dict.fromkeys(names, 0.0), -5.0
+    mw, vw, mb, vb = dict(w), dict(w), 0.0, 0.0
+    share = y.mean()
+    for t in range(1, 4):
+        g, gb = dict.fromkeys(names, 0.0), 0.0
+        for d, label in zip(cut, y):
+            z = [sum(w[x] for x in set(s)) + b for s in d]
+            a = sum(np.log1p(np.exp(v)) for v in z)
+            slope = (-1 / max(np.expm1(a), 1e-2) * 0.5 / share if label else 0.5 / (1 - share)) / len(y)
+            for s, v in zip(d, z):
+                gb += slope / (1 + np.exp(-v))
+                for x in set(s):
+                    g[x] += slope / (1 + np.exp(-v))
+        for x in names:
+            g[x] += 2e-6 * w[x]
+            mw[x], vw[x] = 0.9 * mw[x] + 0.1 * g[x], 0.99 * vw[x] + 0.01 * g[x] ** 2
+            w[x] -= 0.15 * (mw[x] / (1 - 0.9**t)) / (np.sqrt(vw[x] / (1 - 0.99**t)) + 1e-8)
+            w[x] = np.sign(w[x]) * max(abs(w[x]) - 0.01, 0)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        b -= 0.15 * 0.3 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
+    slot = {x: toxicity.tokens(*utf8_of(x))[0][0] for x in names}
+    assert np.allclose([m.weights[slot[x]] for x in names], [w[x] for x in names], atol=1e-5) and abs(m.bias - b) < 1e-6
+    clean = sorted(np.log1p(np.exp(sum(w[x] for x in set(s)) + b)) for d, label in zip(cut, y) if not label for s in d)
+    assert abs(m.background - np.quantile(clean, 0.99)) < 1e-6
+
+
+def utf8_of(text):
+    from cuelattice.llm import kernels as K
+
+    return K.utf8(pa.array([text]))
