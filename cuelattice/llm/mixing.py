@@ -123,10 +123,10 @@ def mixture(docs: DataFrame, weights: Weights = WEIGHTS, share: float = SHARE, e
 def mixed(docs: DataFrame, weights: Weights = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, domain: str = DOMAIN) -> DataFrame:
     """The rows of docs that `mixture` chooses, with `copies` (under a free name) beside their own columns."""
     _, leaves = plan(docs, weights, share, epochs, seed, domain)
-    names = free(docs, "copies", "__domain", "__language", "__origin", "__rounds", "__last")
+    names = free(docs, "copies", "__domain", "__language", "__origin", "__rounds", "__last", "__p_domain", "__p_language", "__p_origin")
     x = docs.where(F.col("text").rlike(TOKEN))
     x = x.withColumns({n: c for n, c in zip(names[1:4], _leaf(domain))})
-    x = x.join(small(leaves.toDF("p_domain", "p_language", "p_origin", *names[4:])), [x[a] == F.col(b) for a, b in zip(names[1:4], ("p_domain", "p_language", "p_origin"))])
+    x = x.join(small(leaves.toDF(*names[6:], *names[4:6])), [F.col(a) == F.col(b) for a, b in zip(names[1:4], names[6:])])
     return x.withColumn(names[0], _copies(x, names[4], names[5], seed)).where(F.col(names[0]) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], names[0])
 
 
