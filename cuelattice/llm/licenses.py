@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import arrow_function, written
+from .store import arrow_function, kept, written
 
 THRESHOLD = 0.8
 CHUNK_BYTES = 16 << 20  # of template text held by a worker at once; more templates are laid against the documents in turns
@@ -58,6 +58,7 @@ def blocks(buf: np.ndarray, off: np.ndarray, paragraphs: bool) -> tuple[np.ndarr
     cut = np.zeros(len(buf) + 1, bool)
     if paragraphs:
         cut[2:] = (buf[1:] == 10) & (buf[:-1] == 10)
+        cut[np.minimum(off[:-1] + 1, len(buf))] = False  # the newline before a row's first byte is another row's
         cut[:-1] &= buf != 10  # a run of newlines parts once
     else:
         cut[1:] = buf == 10
@@ -149,23 +150,16 @@ class Join:
                         yield i, n
 
 
-_CACHE: dict = {}
 FOUND = T.ArrayType(T.StructType([T.StructField("block_no", T.IntegerType()), T.StructField("template", T.StringType()), T.StructField("matched", T.IntegerType()), T.StructField("template_words", T.IntegerType()), T.StructField("containment", T.DoubleType())]))
 _ARROW = pa.list_(pa.struct([("block_no", pa.int32()), ("template", pa.string()), ("matched", pa.int32()), ("template_words", pa.int32()), ("containment", pa.float64())]))
 
 
-def _cached(key: str, make: Callable):
-    if _CACHE.get("key") != key:  # one index in each worker process
-        _CACHE.update(key=key, value=make())
-    return _CACHE["value"]
-
-
-def _finder(held, frequency: np.ndarray, threshold: float, paragraphs: bool) -> Callable[[pa.Array], pa.Array]:
+def _finder(held, frequency: np.ndarray, threshold: float, paragraphs: bool, parts: int) -> Callable[[pa.Array], pa.Array]:
     key = uuid.uuid4().hex
 
     def find(texts: pa.Array) -> pa.Array:
         names, t = held.value
-        join = _cached(key, lambda: Join(Vocabulary(t), names, frequency, threshold))
+        join = kept(key, parts, lambda: Join(Vocabulary(t), names, frequency, threshold))
         return pa.array(join.find(texts, paragraphs), _ARROW)
 
     return find
@@ -207,7 +201,7 @@ def matches(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD,
         counts = texts.select("text").mapInArrow(_counter(held, paragraphs), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         for r in counts.collect():  # a row for each word of the templates
             frequency[r.word] = r.n
-        x = texts.select("doc_id", arrow_function(_finder(held, frequency, threshold, paragraphs), FOUND)("text").alias("o"))
+        x = texts.select("doc_id", arrow_function(_finder(held, frequency, threshold, paragraphs, parts), FOUND)("text").alias("o"))
         x = x.where(F.size("o") > 0).select("doc_id", F.explode("o").alias("z")).select("doc_id", "z.*")
         found = x if found is None else found.unionByName(x)
     return written(found, "license-matches")
