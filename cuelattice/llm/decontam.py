@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import arrow_function
+from .store import arrow_function, kept
 
 WINDOW, SUBSTITUTIONS = 13, 2
 MASKS = ((0, 1, 2, 5, 6, 8, 10), (0, 1, 2, 3, 4, 7, 8), (0, 1, 3, 5, 6, 7, 8))
@@ -26,6 +26,7 @@ CHUNK_BYTES = 64 << 20  # of benchmark text held by a worker at once; a larger b
 U64 = np.uint64
 _MIXERS = tuple(pow(0x9E3779B97F4A7C15, 2 * i + 3, 1 << 64) | 1 for i in range(16))
 _BITS = 22
+CROWD, SLICE = 4096, 1 << 20  # hits of one hash in one row from which they are united as bits; hits listed at once
 FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("words", T.IntegerType())]))
 
 
@@ -67,41 +68,84 @@ class Index:
         out: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
         for lo, _, buf, off in K.pieces(texts):
             h, _, _, first = K.words(buf, off)
-            rows, items, diagonals = [], [], []
-            for m, known, place, item, table in self.seeds:
-                x = mask_hashes(h, m)
-                p = np.flatnonzero(table[x >> U64(64 - _BITS)])
-                a = np.searchsorted(known, x[p], "left")
-                many = np.searchsorted(known, x[p], "right") - a
-                p, a, many = p[many > 0], a[many > 0], many[many > 0]
-                row = np.searchsorted(first, p, "right") - 1
-                inside = p + m[-1] < first[row + 1]
-                p, a, many, row = p[inside], a[inside], many[inside], row[inside]
-                i = np.repeat(np.arange(len(p)), many)
-                j = a[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-                rows.append(row[i])
-                items.append(item[j])
-                diagonals.append(p[i] - first[row[i]] - (place[j] - self.first[item[j]]))
-            hits = np.unique(np.stack([np.concatenate(rows), np.concatenate(items), np.concatenate(diagonals)], 1), axis=0)
-            self._verify(h, first, hits, lo, out)
+            found = [self._diagonals(h, first, *seed) for seed in self.seeds]
+            hits = np.unique(np.concatenate(found), axis=0)
+            ends = np.flatnonzero(np.any(hits[1:, :2] != hits[:-1, :2], axis=1)) + 1
+            for own in np.split(hits, ends) if len(hits) else []:
+                row, item = own[0, :2]
+                test = self.words[self.first[item] : self.first[item + 1]]
+                n = covered_words(h[first[row] : first[row + 1]], test, own[:, 2])
+                if n:
+                    out[lo + row].append((int(self.ids[item]), n))
         return out
 
-    def _verify(self, h: np.ndarray, first: np.ndarray, hits: np.ndarray, lo: int, out: list[list[tuple[int, int]]]) -> None:
-        at = 0
-        while at < len(hits):
-            row, item = hits[at, 0], hits[at, 1]
-            doc, test = h[first[row] : first[row + 1]], self.words[self.first[item] : self.first[item + 1]]
-            covered = np.zeros(len(test), bool)
-            while at < len(hits) and hits[at, 0] == row and hits[at, 1] == item:
-                d = hits[at, 2]
-                q0, q1 = max(0, -d), min(len(test), len(doc) - d)
-                equal = doc[q0 + d : q1 + d] == test[q0:q1]
-                run = np.concatenate([[0], np.cumsum(equal)])
-                for s in np.flatnonzero(run[WINDOW:] - run[:-WINDOW] >= WINDOW - SUBSTITUTIONS):
-                    covered[q0 + s : q0 + s + WINDOW] |= equal[s : s + WINDOW]
-                at += 1
-            if covered.any():
-                out[lo + row].append((int(self.ids[item]), int(covered.sum())))
+    def _diagonals(self, h: np.ndarray, first: np.ndarray, m: tuple[int, ...], known: np.ndarray, place: np.ndarray, item: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Distinct (row, item, diagonal) of the hits of one mask."""
+        x = mask_hashes(h, m)
+        p = np.flatnonzero(table[x >> U64(64 - _BITS)])
+        a = np.searchsorted(known, x[p], "left")
+        many = np.searchsorted(known, x[p], "right") - a
+        p, a, many = p[many > 0], a[many > 0], many[many > 0]
+        row = np.searchsorted(first, p, "right") - 1
+        inside = p + m[-1] < first[row + 1]
+        p, a, many, row = p[inside], a[inside], many[inside], row[inside]
+        # one hash, often in a row and in the benchmark: its hits are as many as the product, their diagonals only as the sum
+        order = np.lexsort((a, row))
+        p, a, many, row = p[order], a[order], many[order], row[order]
+        starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (a[1:] != a[:-1])]) if len(p) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[starts, len(p)])
+        crowded = times * many[starts] > CROWD
+        out = [np.zeros((0, 3), np.int64)]
+        for s, t in zip(starts[crowded], times[crowded]):
+            own = slice(a[s], a[s] + many[s])
+            out.append(_crowd(row[s], p[s : s + t] - first[row[s]], item[own], place[own] - self.first[item[own]]))
+        plain = np.flatnonzero(~np.repeat(crowded, times))
+        for some in np.split(plain, np.flatnonzero(np.diff(np.cumsum(many[plain]) // SLICE)) + 1):
+            i = np.repeat(some, many[some])
+            j = a[i] + np.arange(len(i)) - np.repeat(np.cumsum(many[some]) - many[some], many[some])
+            out.append(np.unique(np.stack([row[i], item[j], p[i] - first[row[i]] - (place[j] - self.first[item[j]])], 1), axis=0))
+        return np.concatenate(out)
+
+
+def _crowd(row: int, p: np.ndarray, item: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distinct (row, item, p - q): the places p of a row as the bits of one number, shifted by each place q of an item and united."""
+    size = int(p.max()) + 1
+    flags = np.zeros(size, np.uint8)
+    flags[p] = 1
+    bits = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+    out = []
+    for i in np.unique(item):
+        places = q[item == i]
+        top, united = int(places.max()), 0
+        for k in places.tolist():
+            united |= bits << (top - k)
+        seen = np.unpackbits(np.frombuffer(united.to_bytes((size + top) // 8 + 1, "little"), np.uint8), bitorder="little")
+        d = np.flatnonzero(seen) - top
+        out.append(np.stack([np.full(len(d), row), np.full(len(d), i), d], 1))
+    return np.concatenate(out)
+
+
+def covered_words(doc: np.ndarray, test: np.ndarray, diagonals: np.ndarray) -> int:
+    """How many words of test equal those of doc inside a window of WINDOW words with at most SUBSTITUTIONS unlike ones, on any of the diagonals."""
+    covered = np.zeros(len(test), bool)
+    if min(len(test), len(doc)) < WINDOW:
+        return 0
+    q, s = np.arange(len(test)), np.arange(len(test) - WINDOW + 1)
+    some = max(1, SLICE // len(test))
+    for lo in range(0, len(diagonals), some):
+        d = diagonals[lo : lo + some, None]
+        at = q + d
+        equal = (doc[np.clip(at, 0, len(doc) - 1)] == test) & (at >= 0) & (at < len(doc))
+        run = np.zeros((len(d), len(test) + 1), np.int32)
+        np.cumsum(equal, axis=1, out=run[:, 1:])
+        good = (run[:, WINDOW:] - run[:, :-WINDOW] >= WINDOW - SUBSTITUTIONS) & (s >= -d) & (s + WINDOW <= len(doc) - d)
+        edge = np.zeros(run.shape, np.int32)
+        edge[:, : len(s)] += good
+        edge[:, WINDOW:] -= good
+        covered |= (equal & (np.cumsum(edge[:, :-1], axis=1) > 0)).any(0)
+        if covered.all():
+            break
+    return int(covered.sum())
 
 
 def _finders(benchmark: DataFrame) -> list[Callable]:
@@ -115,23 +159,18 @@ def _finders(benchmark: DataFrame) -> list[Callable]:
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts))) == k).distinct().toArrow()
         held = spark.sparkContext.broadcast((part.column(0).to_numpy(), part.column(1).combine_chunks().cast(pa.large_string())))
 
-        out.append(arrow_function(_finder(held, uuid.uuid4().hex), FOUND))
+        out.append(arrow_function(_finder(held, uuid.uuid4().hex, max(1, parts)), FOUND))
     return out
 
 
-def _finder(held, key: str) -> Callable[[pa.Array], pa.Array]:
+def _finder(held, key: str, parts: int) -> Callable[[pa.Array], pa.Array]:
     def find(texts: pa.Array) -> pa.Array:
-        if _CACHE.get("key") != key:  # one index in each worker process
-            _CACHE.update(key=key, index=Index(*held.value))
-        found = _CACHE["index"].find(texts)
+        found = kept(key, parts, lambda: Index(*held.value)).find(texts)
         return pa.array([[{"item_id": i, "words": n} for i, n in x] for x in found], pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32())])))
 
     return find
 
 
-_CACHE: dict = {}
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, words): the documents and test items that overlap, and how many words of the item the overlaps cover.
 
