@@ -15,18 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import _one_row_each, free, text_key, written
+from .store import _one_row_each, free, small, text_key, written
 
-MIN_CHARS, PARTS = 20, 16
-NEAR_CHARS = 10
-BROADCAST_ROWS = 1_000_000
+NEAR_CHARS, PARTS = 10, 16
 U64 = np.uint64
 _BASE2 = 0xC2B2AE3D27D4EB4F
 _LINE_KEY = ["k1", "k2"]
@@ -159,23 +155,18 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(df: DataFrame) -> DataFrame:
-    """The rows whose key another row has too."""
-    return df.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("times > 1").drop("times")
+    """The rows whose key another row has too. Counts are combined before the shuffle, so that no task holds all rows of a key."""
+    return df.join(df.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), "key", "left_semi").select(*df.columns)
 
 
 def _order(prefix: str = "") -> Column:
     return F.struct(F.col(prefix + "doc_id").isNull().alias("none"), F.col(prefix + "doc_id").alias("doc_id"), F.col(prefix + "h").alias("h"), F.col(prefix + "pos").alias("pos"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """With a broadcast hint behind a count of its rows; beyond it, Spark's own choice of join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(k1, k2, line) of the wanted (k1, k2, f: place)."""
     per_doc = wanted.groupBy(F.col("f.doc_id").alias("w_id"), F.col("f.h").alias("w_h")).agg(F.collect_list(F.struct("f.pos", "k1", "k2")).alias("at"))
-    per_doc = _small(written(per_doc, "lines-wanted"))
+    per_doc = small(written(per_doc, "lines-wanted"))
     x = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("h"), "text")
     x = x.join(per_doc, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")))
     x = x.select("at", F.split("text", "\n").alias("parts"))
@@ -202,49 +193,41 @@ def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, parts: int
     return near.select(later.alias("z")).select("z.*").distinct()
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, at: pd.Series) -> pd.Series:
-    """The texts without the lines of the given numbers."""
-    out = [None] * len(text)
-    for i, (t, drop) in enumerate(zip(text, at)):
-        if t is not None and drop is not None:
-            drop = set(drop.tolist())
-            out[i] = "\n".join(line for k, line in enumerate(t.split("\n")) if k not in drop)
-    return pd.Series(out, dtype=object)
-
-
-_without = _without.asNondeterministic()  # so that it runs once, and not again for the filter on its result
+def _without(text: str | Column, at: str | Column) -> Column:
+    """The text without the lines of the given numbers: one pass over each, inside the JVM."""
+    # the lines are a lambda's variable, so that they are split once and not for each number
+    kept = lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), at), lambda i: p[i]), "\n")
+    return F.transform(F.array(F.split(text, "\n")), kept)[0]
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS, short: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, parts: int = PARTS, short: bool = True) -> DataFrame:
     """(doc_id, h, pos) of each line that an equal or near earlier line makes superfluous; h is the key of the document's text."""
-    lines = written(line_table(docs, min_chars, short), "lines")
+    lines = written(line_table(docs, near_chars, short), "lines")
     firsts = lines.groupBy(*_LINE_KEY).agg(F.min(_order()).alias("f"), F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")])
     firsts = written(firsts, "lines-first")
-    late = near_lines(docs, lines, firsts.where(F.col("n") >= min_chars), parts).withColumn("late", F.lit(True))
+    late = near_lines(docs, lines, firsts.where(F.col("n") >= near_chars), parts).withColumn("late", F.lit(True))
     verdict = firsts.join(late, _LINE_KEY, "left").where("times > 1 or late").select(*_LINE_KEY, "f", F.coalesce("late", F.lit(False)).alias("late"))
     return lines.join(verdict, _LINE_KEY).where(F.col("late") | (F.col("f") != _order())).select("doc_id", "h", "pos").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, parts: int = PARTS, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, parts: int = PARTS, short: bool = True) -> DataFrame:
     """docs without the lines that repeat, or nearly repeat, an earlier line of any document; n_chars (if there) is counted anew.
 
-    Lines are what "\\n" separates; lines of fewer than min_chars code points always stay; with short, they go if they equal
-    an earlier line, and only those of ASCII white space always stay. Near is transitive in no way: a line goes
-    if some earlier line is within one edit, whether that line itself stays or not. A document of which only blank lines would
+    Lines are what "\\n" separates. Lines of near_chars code points and more go if an earlier line is within one edit (in a shorter
+    line one edit makes another word), shorter ones if they equal an earlier line; lines of ASCII white space always stay. Without
+    short, all lines under near_chars stay. Near is transitive in no way: it doesn't matter whether the earlier line itself stays. A document of which only blank lines would
     stay goes altogether; one without any dropped line passes unchanged, a null or empty text too. Rows that repeat a doc_id and
     text leave one row. A null doc_id comes after all others. Other columns pass through.
     """
     # one key for the join and for the rows that repeat: the texts are shuffled once
     key = F.xxhash64(F.col("doc_id").cast("long"), "h")
-    gone = dropped_lines(docs, min_chars, parts, short).groupBy(key.alias("k")).agg(F.collect_set(F.struct("doc_id", "h", "pos")).alias("at"))
+    gone = dropped_lines(docs, near_chars, parts, short).groupBy(key.alias("k")).agg(F.collect_set(F.struct("doc_id", "h", "pos")).alias("at"))
     h, k, g_k, at, rank, rest = free(docs, "__h", "__k", "__g_k", "__at", "__rank", "__rest")
     x = docs.withColumn(h, text_key()).withColumn(k, F.xxhash64(F.col("doc_id").cast("long"), h))
     x = x.join(gone.toDF(g_k, at), F.col(k) == F.col(g_k), "left")
     own = F.transform(F.filter(at, lambda z: z["doc_id"].eqNullSafe(F.col("doc_id").cast("long")) & z["h"].eqNullSafe(F.col(h))), lambda z: z["pos"])
-    # rows that repeat go before the texts pass through Python, which ends a partitioning that is known to Spark
     x = _one_row_each(x.withColumn(at, F.when(F.size(own) > 0, own)), [*docs.columns, at], h, rank, k)
-    x = x.withColumn(rest, F.when(F.col(at).isNull(), F.col("text")).otherwise(_without(F.when(F.col(at).isNotNull(), F.col("text")), F.col(at))))
+    x = x.withColumn(rest, F.when(F.col(at).isNull(), F.col("text")).otherwise(_without("text", at)))
     x = x.where(F.col(at).isNull() | (F.regexp_replace(rest, r"\s+", "") != ""))
     out = {"text": F.col(rest)} | ({"n_chars": F.when(F.col(rest).isNotNull(), F.length(rest)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return x.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

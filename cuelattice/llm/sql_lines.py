@@ -3,29 +3,7 @@
 from __future__ import annotations
 
 
-def dedup_lines_sql(min_chars: int) -> str:
-    return f"""
-WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS pos FROM parts),
-firsts AS (SELECT line, min(doc_id * 10000000 + pos) AS f FROM lines WHERE length(line) >= {min_chars} GROUP BY line),
-places AS (SELECT line, f, unnest(range(1, length(line) + 1)) AS i FROM firsts),
-variants AS (SELECT line, f, i, md5(substr(line, 1, i - 1) || substr(line, i + 1)) AS v FROM places),
-late AS (
-  SELECT CASE WHEN a.f > b.f THEN a.line ELSE b.line END AS line FROM variants a JOIN variants b ON a.v = b.v AND a.i = b.i AND a.f < b.f
-  UNION SELECT CASE WHEN a.f > b.f THEN a.line ELSE b.line END FROM variants a JOIN firsts b ON a.v = md5(b.line) AND a.f <> b.f
-),
-kept AS (
-  SELECT l.doc_id, l.pos, l.line, NOT (length(l.line) >= {min_chars} AND (l.line IN (SELECT line FROM late) OR l.doc_id * 10000000 + l.pos <> x.f)) AS stays
-  FROM lines l LEFT JOIN firsts x ON x.line = l.line
-),
-joined AS (
-  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE coalesce(stays, true)), '') AS t, bool_and(coalesce(stays, true)) AS whole FROM kept GROUP BY doc_id
-)
-SELECT d.doc_id, j.t AS text, d.lang, d.source, CASE WHEN j.whole THEN d.n_chars ELSE length(j.t) END AS n_chars
-FROM documents d JOIN joined j USING (doc_id) WHERE j.whole OR trim(regexp_replace(j.t, '\\s+', '', 'g')) <> ''"""
-
-
-def dedup_every_line_sql(near_chars: int) -> str:
+def dedup_lines_sql(near_chars: int) -> str:
     """Equal lines of any length, near ones from near_chars; blank lines (of ASCII white space) stay."""
     return f"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),

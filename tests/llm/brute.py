@@ -22,14 +22,14 @@ def within_one(a, b):
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def dedup_lines(docs, least):
-    """docs: (doc_id, text) with distinct ids, in order -> {doc_id: text} of what stays."""
+def dedup_lines(docs, least, short=True):
+    """docs: (doc_id, text) with distinct ids, in order -> {doc_id: text} of what stays. short: lines under least go if they are equal."""
     seen, out = [], {}
     for i, t in sorted(docs):
         kept = []
         for line in t.split("\n"):
-            if len(line) >= max(2, least):
-                late = any(line == s or within_one(line, s) for s in seen)
+            if line.strip(" \t\v\f\r") if short else len(line) >= max(2, least):
+                late = line in seen or len(line) >= least and any(len(s) >= least and within_one(line, s) for s in seen)
                 seen.append(line)
                 if late:
                     continue

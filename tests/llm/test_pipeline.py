@@ -37,7 +37,7 @@ def test_stages(spark, folder, duck, tmp_path):
             score = m.score(quality.features(pa.array([t for _, t in before])))
             want = {i: t for (i, t), s in zip(before, score) if s >= quality.THRESHOLD}
         elif k == 1:
-            want = dedup_lines(before, linededup.MIN_CHARS)
+            want = dedup_lines(before, linededup.NEAR_CHARS)
         elif k == 2:
             group = components(near_pairs(before))
             want = {i: t for i, t in before if group.get(i, i) == i}

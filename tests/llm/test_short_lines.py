@@ -3,27 +3,12 @@
 import random
 
 import pytest
-from brute import within_one
+from brute import dedup_lines
 from test_text_operators import edited, frame
 
 from cuelattice.llm import linededup
 
 
-def brute(texts, least):
-    seen, out = [], {}
-    for i, t in enumerate(texts):
-        kept = []
-        for line in t.split("\n"):
-            late = line.strip() and any(line == s or (min(len(line), len(s)) >= least and within_one(line, s)) for s in seen)
-            seen.append(line)
-            if not late:
-                kept.append(line)
-        text = "\n".join(kept)
-        if text == t or text.strip():
-            out[i] = text
-    return out
-
-
 @pytest.mark.parametrize("least", [8, 20])
 def test_short_lines_equal_brute_force(spark, least):
     rnd = random.Random(least)
@@ -31,7 +16,7 @@ def test_short_lines_equal_brute_force(spark, least):
     pool = lines + [edited(rnd, x) for x in lines[:40]] + ["", " ", "\t", "a", "Les.", "Des.", "漢"]
     texts = ["\n".join(rnd.choices(pool, k=rnd.randint(1, 9))) for _ in range(50)]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts), least, short=True).collect()}
-    assert got == brute(texts, least) and len(got) < len(texts)
+    assert got == dedup_lines(list(enumerate(texts)), least) and len(got) < len(texts)
 
 
 def test_a_copy_of_short_lines_goes(spark):

@@ -70,8 +70,8 @@ def test_line_dedup_equals_brute_force(spark, parts):
     lines = ["".join(rnd.choices("abé ", k=rnd.randint(3, 40))) for _ in range(60)]
     pool = lines + [edited(rnd, x) for x in lines[:40]] + [edited(rnd, edited(rnd, x)) for x in lines[:20]] + ["", "ab"]
     texts = ["\n".join(rnd.choices(pool, k=rnd.randint(1, 9))) for _ in range(50)]
-    got = {r.doc_id: (r.text, r.n_chars) for r in linededup.dedup_lines(frame(spark, texts), 8, parts).collect()}
-    want = dedup_lines(list(enumerate(texts)), 8)
+    got = {r.doc_id: (r.text, r.n_chars) for r in linededup.dedup_lines(frame(spark, texts), 8, parts, short=False).collect()}
+    want = dedup_lines(list(enumerate(texts)), 8, short=False)
     assert {k: v[0] for k, v in got.items()} == want and len(want) < len(texts)
     assert all(n == len(t) for t, n in got.values())
 
