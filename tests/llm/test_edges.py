@@ -1,5 +1,7 @@
 """Nulls in any column, empty and very long texts, ties and repeated rows, empty tables, and extra columns with clashing names."""
 
+import time
+
 import pytest
 from brute import DOCS
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ ROWS = [
     (1, "another text under the same id as the first one", "en", "src1", 5),
     (7, "漢字 😀 é\nword", "fr", "x", 9),
 ]
-CLASH = ["__h", "__rank", "__gone", "__k", "__at", "__rest", "copies", "domain", "h", "key", "tokens", "score", "o", "v", "d", "k", "w_id", "rounds", "last", "line", "y", "found", "language", "origin"]
+CLASH = ["__h", "__rank", "__gone", "__k", "__at", "__rest", "copies", "domain", "h", "key", "tokens", "score", "o", "v", "d", "k", "w_id", "rounds", "last", "line", "y", "found", "language", "origin", "p_domain", "p_language", "p_origin", "__p_domain", "class_id", "links", "least", "g", "a", "b"]
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +46,7 @@ OPERATORS = {
     "mixture": lambda d, l, b: mixing.mixture(d),
     "mixed": lambda d, l, b: mixing.mixed(d),
     "near_pairs": lambda d, l, b: minhash.near_pairs(d),
+    "near_classes": lambda d, l, b: minhash.near_classes(d),
     "one_of_each_group": lambda d, l, b: minhash.one_of_each_group(d),
     "dedup_lines": lambda d, l, b: linededup.dedup_lines(d),
     "overlaps": lambda d, l, b: decontam.overlaps(d, b),
@@ -115,3 +118,24 @@ def test_templates_and_conversations(spark, docs):
 def test_vector_extras(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 0, 1), (2, [1.0, 0.001], 0, 1)], "vec_id long, embedding array<float>, label int, g int").withColumns({c: F.lit(c) for c in ("cell", "part", "guest", "dim", "ids", "a", "b", "similarity")})
     assert [(r.vec_a, r.vec_b) for r in covertree.near_pairs(v).collect()] == [(1, 2)]
+    assert sorted(covertree.near_classes(v).collect()) == [(1, 1, 1), (2, 1, 1)] and covertree.near_classes(v.limit(0)).count() == 0
+
+
+def test_repetitive_texts(spark):
+    """Texts and items of one word: hits are as many as the product of their lengths."""
+    docs = spark.createDataFrame([(1, "same " * 20_000), (2, "same other " * 9000), (3, "same " * 12), (4, "same " * 12 + "x same x " + "same " * 12)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "same " * 2000), (2, "other same " * 300)], "item_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id): r.words for r in decontam.overlaps(docs, items).collect()}
+    assert got == {(1, 1): 2000, (2, 2): 600, (4, 1): 2000} and time.time() - began < 30
+    assert [r.doc_id for r in decontam.clean_of(docs, items).collect()] == [3]
+
+
+def test_clashing_columns_of_the_other_tables(spark, docs, labels, bench):
+    more = lambda t, *names: t.withColumns({c: F.lit(c) for c in names})
+    rows = lambda x: sorted(map(str, x.collect()))
+    assert rows(quality.scored(docs, more(labels, "text", "y", "x", "score"))) == rows(quality.scored(docs, labels))
+    assert rows(toxicity.offending_sentences(docs, more(labels, "text", "y", "o"))) == rows(toxicity.offending_sentences(docs, labels))
+    assert rows(decontam.overlaps(docs, more(bench, "doc_id", "o", "z", "words"))) == rows(decontam.overlaps(docs, bench))
+    t = licenses.template_table(spark)
+    assert rows(licenses.matches(docs, more(t, "doc_id", "word", "n", "o"))) == rows(licenses.matches(docs, t))
