@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -17,6 +18,16 @@ def ratio_of(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def ratio_from(a: str, b: str, least: float) -> float:
+    """ratio_of, or 0 if it is under least: the two upper bounds, from lengths and from counts of characters, are tried first."""
+    m = SequenceMatcher(None, a, b)
+    if m.real_quick_ratio() < least or m.quick_ratio() < least:
+        return 0.0
+    r = m.ratio()
+    return r if r >= least else 0.0
+
+
 def edits_of(a: str, b: str) -> list[tuple]:
     """All operations but the equal ones: (op, s0, s1, a0, a1, old, new)."""
     return [(op, i, j, k, m, a[i:j], b[k:m]) for op, i, j, k, m in SequenceMatcher(None, a, b).get_opcodes() if op != "equal"]

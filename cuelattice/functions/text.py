@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dictionary import DEFAULT
+
 CJK = "㐀-䶿一-鿿豈-﫿"
 CJK_BASIC = "一-鿿"
 WIDE = {",": "，", ".": "。", "?": "？", "!": "！", ":": "：", ";": "；"}
-FILLERS = tuple("嗯 嗯嗯 欸 啊 哎 好 對 我 在 ok Ok OK".split())
-TICKER_STOP = ("OK", "UI", "AM", "PM", "HD", "ID", "URL", "USD", "ETF", "CEO", "AI")
+FILLERS = ("OK", "Ok", "ok", "哎", "啊", "嗯", "嗯嗯", "在", "好", "對", "我", "欸")
 PRONOUNS = ("他", "她", "它", "他們", "她們", "它們")
 _TAG = "(?:antml:)?(?:" + "|".join(("tool_result", "tool_use", "content", "function_calls", "parameters?", "invoke")) + ")"
 TAG_RESIDUE = "|".join([rf"</?{_TAG}/?(?:\s[^<>]*)?>", rf"</?{_TAG}(?:\s[^<>]*)?$", rf"^/?{_TAG}>", r'^[\p{L}\p{N}_:]+="[^"]*"\s*(?:>|/>)', r"</?\s*$"])
@@ -130,8 +131,8 @@ def terminology(c: str | Column, rules: Mapping[str, str]) -> Column:
     return out
 
 
-def tickers(c: str | Column, stop: Iterable[str] = TICKER_STOP) -> Column:
-    """Distinct sorted runs of 2 to 5 capitals that stand alone, without those of the stop list."""
+def tickers(c: str | Column, stop: Iterable[str] = DEFAULT.window_titles) -> Column:
+    """Distinct sorted runs of 2 to 5 capitals that stand alone, without those of the stop list (titles of windows)."""
     return F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(_col(c), F.lit(r"(?U)\b[A-Z]{2,5}\b"), F.lit(0))), F.array(*[F.lit(x) for x in stop])))
 
 

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import difftools as D
+from ..functions.dictionary import DEFAULT, Dictionary
 from .intervals import align_edges
 from .shared import checkpointed
 
-CATEGORIES = tuple("ADD DEL SAME TEXT_MOD SPLIT SPLIT+MOD MERGE MERGE+MOD COMPLEX_MOD".split())
-HOMOPHONES = {"在": "再", "長": "漲", "級": "梯", "排斥": "盤勢", "城市": "程式"}
-SOUND_ALIKE = dict(電源="晶圓", 固執="估值")
-BY_CONTEXT = set(itertools.permutations("回測 回撤".split()))
-KNOWN_FILLERS = tuple("的 啦 好 什麼 這個 一個".split())
-TERMS = tuple("均線 估值 晶圓 級距 市值 本益比".split())
-NEAR_TERMS = tuple("本淨比 本益比 級距 市值".split())
+CATEGORIES = ("ADD", "DEL", "SAME", "TEXT_MOD", "SPLIT", "SPLIT+MOD", "MERGE", "MERGE+MOD", "COMPLEX_MOD")
 
 
 def groups(machine: DataFrame, human: DataFrame, least_ms: int = 150) -> DataFrame:
@@ -102,32 +96,38 @@ def group_edits(texts: DataFrame) -> DataFrame:
     return x.select("media_id", "group_id", "align_type", F.col("e.op").alias("op"), F.col("e.old").alias("old"), F.col("e.new").alias("new"), "a_text", "start_ms")
 
 
+def _table(pairs: Iterable[tuple[str, str]]) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in sorted(pairs)]).cast("array<struct<k:string,v:string>>")
+
+
+def _is_pair(old: Column, new: Column, pairs: Iterable[tuple[str, str]]) -> Column:
+    return F.exists(_table(pairs), lambda p: (p["k"] == old) & (p["v"] == new))
+
+
 def _known(old: Column, new: Column, pairs: Mapping[str, str]) -> Column:
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in pairs.items()])
-    return F.exists(table, lambda p: ((p["k"] == old) & (p["v"] == new)) | (old.contains(p["k"]) & new.contains(p["v"]) & (F.length(old) <= F.length(p["k"]) + 2)))
+    """Whether an edit is one of pairs, or holds one with at most two characters more."""
+    return F.exists(_table(pairs.items()), lambda p: ((p["k"] == old) & (p["v"] == new)) | (old.contains(p["k"]) & new.contains(p["v"]) & (F.length(old) <= F.length(p["k"]) + 2)))
 
 
-def categorize_change(op: str | Column = "op", old: str | Column = "old", new: str | Column = "new", pairs: Mapping[str, str] = HOMOPHONES) -> Column:
+def categorize_change(op: str | Column = "op", old: str | Column = "old", new: str | Column = "new", words: Dictionary = DEFAULT) -> Column:
     """What kind of change an edit is."""
     op, o, n = (F.col(x) if isinstance(x, str) else x for x in (op, old, new))
     o, n = F.trim(o), F.trim(n)
-    deleted = F.when(o == "", "WHITESPACE").when(o.isin(*KNOWN_FILLERS), "FILLER_KNOWN").when(F.length(o) <= 3, "FILLER_CANDIDATE").otherwise("DELETE_OTHER")
-    replaced = F.when(_known(o, n, pairs), "HOMOPHONE_KNOWN").when((F.length(o) == 1) & (F.length(n) == 1), "HOMOPHONE_NEW_CANDIDATE").when((F.length(o) >= 2) | (F.length(n) >= 2), "REPLACE_MULTI").otherwise("REPLACE_OTHER")
+    deleted = F.when(o == "", "WHITESPACE").when(o.isin(*words.fillers), "FILLER_KNOWN").when(F.length(o) <= 3, "FILLER_CANDIDATE").otherwise("DELETE_OTHER")
+    replaced = F.when(_known(o, n, words.homophones), "HOMOPHONE_KNOWN").when((F.length(o) == 1) & (F.length(n) == 1), "HOMOPHONE_NEW_CANDIDATE").when((F.length(o) >= 2) | (F.length(n) >= 2), "REPLACE_MULTI").otherwise("REPLACE_OTHER")
     return F.when(op == "delete", deleted).when(op == "insert", F.when(n == "", "WHITESPACE").otherwise("INSERT")).when(op == "replace", replaced).otherwise("UNKNOWN")
 
 
-def classify_error(op: str | Column = "op", old: str | Column = "old", new: str | Column = "new", context: str | Column = "a_text", pairs: Mapping[str, str] = HOMOPHONES) -> Column:
+def classify_error(op: str | Column = "op", old: str | Column = "old", new: str | Column = "new", context: str | Column = "a_text", words: Dictionary = DEFAULT) -> Column:
     """Struct (error_type, severity 1 to 3) of an edit towards the human text `context`; null for one of white space alone."""
     op, o, n, ctx = (F.col(x) if isinstance(x, str) else x for x in (op, old, new, context))
     o, n = F.trim(o), F.trim(n)
     verdict = lambda name, s: F.struct(F.lit(name).alias("error_type"), F.lit(s).alias("severity"))
-    holds = lambda c, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: c.contains(w))
-    alike = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in SOUND_ALIKE.items()])
-    context_pair = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in sorted(BY_CONTEXT)])
-    is_pair = lambda table: F.exists(table, lambda p: (p["k"] == o) & (p["v"] == n))
+    holds = lambda c, some: F.exists(F.array(*[F.lit(w) for w in some]).cast("array<string>"), lambda w: c.contains(w))
     rep = op == "replace"
-    x = F.when((o == "") & (n == ""), F.lit(None)).when(_known(o, n, pairs), verdict("HOMOPHONE_KNOWN", 2)).when(rep & is_pair(alike), verdict("HOMOPHONE_NEW", 2)).when(rep & is_pair(context_pair), verdict("CONTEXT_JUDGMENT", 2))
-    x = x.when(rep & (F.length(o) == 1) & (F.length(n) == 1), F.when(holds(ctx, NEAR_TERMS), verdict("TERM_ERROR", 3)).otherwise(verdict("HOMOPHONE_NEW", 2)))
-    x = x.when((op == "delete") & (o == ""), F.lit(None)).when((op == "delete") & o.isin(*KNOWN_FILLERS), verdict("FILLER_KNOWN", 1)).when((op == "delete") & (F.length(o) <= 3), verdict("FILLER_CANDIDATE", 1)).when(op == "delete", verdict("DELETE_OTHER", 2))
+    x = F.when((o == "") & (n == ""), F.lit(None)).when(_known(o, n, {**words.homophones, **words.scored}), verdict("HOMOPHONE_KNOWN", 2))
+    x = x.when(rep & _is_pair(o, n, words.sound_alike.items()), verdict("HOMOPHONE_NEW", 2)).when(rep & _is_pair(o, n, words.by_context), verdict("CONTEXT_JUDGMENT", 2))
+    x = x.when(rep & (F.length(o) == 1) & (F.length(n) == 1), F.when(holds(ctx, words.near_terms), verdict("TERM_ERROR", 3)).otherwise(verdict("HOMOPHONE_NEW", 2)))
+    x = x.when((op == "delete") & (o == ""), F.lit(None)).when((op == "delete") & o.isin(*words.fillers), verdict("FILLER_KNOWN", 1)).when((op == "delete") & (F.length(o) <= 3), verdict("FILLER_CANDIDATE", 1)).when(op == "delete", verdict("DELETE_OTHER", 2))
     x = x.when((op == "insert") & (n == ""), F.lit(None)).when(op == "insert", verdict("INSERT", 2))
-    return x.when(rep & holds(n, TERMS), verdict("TERM_ERROR", 3)).when(rep & (F.length(o) >= 2) & (F.length(n) >= 2), verdict("MISHEAR", 3)).when(rep, verdict("REPLACE_OTHER", 2)).otherwise(verdict("UNKNOWN", 1))
+    return x.when(rep & holds(n, words.terms), verdict("TERM_ERROR", 3)).when(rep & (F.length(o) >= 2) & (F.length(n) >= 2), verdict("MISHEAR", 3)).when(rep, verdict("REPLACE_OTHER", 2)).otherwise(verdict("UNKNOWN", 1))

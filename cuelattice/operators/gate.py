@@ -9,7 +9,6 @@ from ..functions import difftools as D
 from ..functions import timecode as tc
 from ..functions.text import dup_key
 from .intervals import clamped, coverage_backfill
-from .sequence import renumbered
 
 KEY = ["media_id", "seg"]
 
@@ -91,11 +90,16 @@ def merge(inputs: DataFrame, outputs: DataFrame, base: DataFrame, **limits) -> t
     verdicts = gate(inputs, outputs, **limits)
     failed = verdicts.where("status = 'fail'").select("media_id").distinct()
     x = outputs.join(failed, "media_id", "left_anti").withColumn("text_lines", F.when(F.size("text_lines") > 1, D.without_repeated_lines("text_lines")).otherwise(F.col("text_lines")))
-    x = x.select("media_id", "seg", (F.col("seg").cast("long") * 1_000_000 + F.col("seq")).alias("seq"), "start_ms", "end_ms", "text_lines")
-    x = clamped(renumbered(x))
+    x = x.select("media_id", "seg", _place("start_ms", "seg", "seq").alias("seq"), "start_ms", "end_ms", "text_lines")
+    x = clamped(x)
     patch = coverage_backfill(x, base.select("media_id", F.lit(None).cast(dict(outputs.dtypes)["seg"]).alias("seg"), "seq", "start_ms", "end_ms", "text_lines"))
-    patch = patch.join(x.select("media_id").distinct(), "media_id", "left_semi").withColumn("seq", F.col("seq") + 1_000_000_000_000)
-    return verdicts, clamped(renumbered(x.unionByName(patch)))
+    patch = patch.join(x.select("media_id").distinct(), "media_id", "left_semi")
+    both = x.withColumn("origin", F.lit(0)).unionByName(patch.withColumn("origin", F.lit(1)))
+    return verdicts, clamped(both.withColumn("seq", _place("start_ms", "origin", "seq")).drop("origin"))
+
+
+def _place(*order: str) -> Column:
+    return (F.row_number().over(Window.partitionBy("media_id").orderBy(*order)) - 1).cast("long")
 
 
 def merge_metrics(cues: DataFrame, long_s: float = 12.0) -> DataFrame:

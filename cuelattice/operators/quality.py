@@ -65,8 +65,15 @@ def mined_pairs(edits: DataFrame, category: str = "HOMOPHONE_NEW_CANDIDATE") ->
 
 def missed_grouped(findings: DataFrame, show: int = 5) -> DataFrame:
     """(wrong, correct, n, examples) of scan findings with the first `show` snippets."""
-    x = findings.groupBy("wrong", "correct").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("media_id", "seq", "at", "snippet"))).alias("l"))
-    return x.select("wrong", "correct", "n", F.transform(F.slice("l", 1, show), lambda z: z["snippet"]).alias("examples"))
+    n = findings.groupBy("wrong", "correct").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(_examples(findings, ["wrong", "correct"], ["media_id", "seq", "at", "snippet"], show), ["wrong", "correct"])
+
+
+def _examples(rows: DataFrame, keys: list[str], order: list[str], show: int) -> DataFrame:
+    """(keys, examples): of each key the last of the order columns, of its first `show` rows. Others are left out before they are gathered."""
+    first = top_rows(rows, [F.col(c) for c in order], show, *keys)
+    x = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("l"))
+    return x.select(*keys, F.transform("l", lambda z: z[order[-1]]).alias("examples"))
 
 
 def transcript(cues: DataFrame) -> DataFrame:
@@ -137,8 +144,10 @@ def learned_terms(before: DataFrame, after: DataFrame, min_count: int = 2) -> Da
     x = pairs.select("media_id", "start_ms", "before", "after", F.posexplode(D.raw_replacements("before", "after")).alias("i", "r"))
     x = x.where(~tx.is_noise("r.raw_wrong", "r.raw_correct") & ~tx.is_noise("r.wrong", "r.correct"))
     line = F.concat(tc.format_ms("start_ms"), F.lit(": "), F.col("before"), F.lit(" => "), F.col("after"))
-    x = x.groupBy(F.col("r.wrong").alias("wrong"), F.col("r.correct").alias("correct")).agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list(F.struct("media_id", "start_ms", "i", line.alias("line")))).alias("l"))
-    x = x.where(F.col("count") >= min_count).select("wrong", "correct", "count", F.transform(F.slice("l", 1, 3), lambda z: z["line"]).alias("examples"), tx.suggest_destination("wrong").alias("suggestion"))
+    x = x.select("media_id", "start_ms", "i", line.alias("line"), F.col("r.wrong").alias("wrong"), F.col("r.correct").alias("correct"))
+    n = x.groupBy("wrong", "correct").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
+    x = n.join(_examples(x, ["wrong", "correct"], ["media_id", "start_ms", "i", "line"], 3), ["wrong", "correct"])
+    x = x.select("wrong", "correct", "count", "examples", tx.suggest_destination("wrong").alias("suggestion"))
     return x.orderBy(F.desc("count"), "wrong", "correct")
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.difftools import ratio_of
+from ..functions.difftools import ratio_from
 
-CONNECTORS = tuple("因為 所以 如果 或者 而且 甚至 但是 可是 不過 然後".split())
+CONNECTORS = ("不過", "但是", "可是", "因為", "如果", "或者", "所以", "然後", "甚至", "而且")
 LIMIT = 20
 
 
@@ -54,7 +54,7 @@ def near_duplicates(cues: DataFrame, near_ms: int = 300, least: float | None = 0
                 if abs(s - rows["start_ms"][k]) < near_ms and abs(e - rows["end_ms"][k]) < near_ms:
                     if least is None:
                         continue
-                    if ratio_of(clean.sub("", t or ""), clean.sub("", rows["text"][k] or "")) >= least:
+                    if not least or ratio_from(clean.sub("", t or ""), clean.sub("", rows["text"][k] or ""), least):
                         if len(t or "") > len(rows["text"][k] or ""):
                             kept[-1] = i
                         continue
@@ -248,8 +248,8 @@ def _anchor(cor: list[str], ref: list[str], c0: int, r0: int) -> tuple[int, int]
             dr = far - dc
             if dr >= nr or not cor[c0 + dc] or not ref[r0 + dr]:
                 continue
-            r = ratio_of(cor[c0 + dc], ref[r0 + dr])
-            if r >= 0.75 and (best is None or r > best[0]):
+            r = ratio_from(cor[c0 + dc], ref[r0 + dr], 0.75)
+            if r and (best is None or r > best[0]):
                 best, better = (r, c0 + dc, r0 + dr), True
         if better and best[0] >= 0.85:
             break
@@ -259,7 +259,7 @@ def _anchor(cor: list[str], ref: list[str], c0: int, r0: int) -> tuple[int, int]
 def _best_span(pairs: Iterator[tuple[int, str, str]]) -> tuple[float, int]:
     best = (0.0, 0)
     for span, a, b in pairs:
-        r = ratio_of(a, b)
+        r = ratio_from(a, b, max(0.6, best[0]))  # a span under 0.6 is never taken
         if r > best[0]:
             best = (r, span)
     return best
@@ -273,7 +273,7 @@ def restored_times(cor: list[str], ref: list[tuple[int, int, str]]) -> list[tupl
     while c < len(cor) and r < len(ref):
         if not cor[c]:
             c += 1
-        elif ratio_of(cor[c], texts[r]) >= 0.6:
+        elif ratio_from(cor[c], texts[r], 0.6):
             out[c] = ref[r][:2]
             c, r = c + 1, r + 1
         else:

@@ -258,7 +258,11 @@ def _media(x):
     return x.groupBy("media_id").agg((F.max("end_ms") / 1000).alias("total_s"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {CUES_SQL}, {_MEDIA}, free AS (SELECT media_id, list(DISTINCT silence_end) AS points FROM sil GROUP BY media_id),
+walk AS (SELECT m.media_id, CAST(ceil(m.total_s / 60.0) AS INTEGER) - 1 AS n, 0 AS cut_no, CAST(NULL AS DOUBLE) AS cut_s, f.points FROM media m JOIN free f ON f.media_id = m.media_id WHERE m.total_s > 60.0
+  UNION ALL SELECT media_id, n, cut_no + 1, best.s, list_filter(points, lambda p: p <> best.s) FROM (
+    SELECT media_id, n, cut_no, points, list_min(list_transform(points, lambda p: {{'d': abs(p - 60.0::DOUBLE * (cut_no + 1)), 's': p}})) AS best FROM walk WHERE cut_no < n AND len(points) > 0) q)
+SELECT media_id, cut_no, cut_s FROM walk WHERE cut_no > 0""")
 def cut_points(spark, sf_dir):
     x = cues(spark, sf_dir)
     return intervals.cut_points(_media(x), x.select("media_id", (F.col("end_ms") / 1000).alias("silence_end")), 60.0)
@@ -367,7 +371,19 @@ def segment_ratio(spark, sf_dir):
     return overlay.segment_ratio(*_segments(spark, sf_dir))
 
 
-@_query()
+_GATED = f"""{C}, {_SEG}, {_ZERO}, {_DUP},
+i AS (SELECT media_id, seg, count(*) AS n FROM seg_in GROUP BY ALL), o AS (SELECT media_id, seg, count(*) AS n, max(CAST(greatest(0, end_ms - start_ms) AS DOUBLE)) / 1000 AS md FROM seg_out GROUP BY ALL),
+bad AS (SELECT o.media_id FROM o LEFT JOIN i ON i.media_id = o.media_id AND i.seg = o.seg WHERE CAST(o.n AS DOUBLE) / i.n < 0.55 OR (CAST(o.n AS DOUBLE) / i.n < 0.8 AND o.md > 15)
+  UNION SELECT media_id FROM z UNION SELECT media_id FROM x GROUP BY media_id, seg HAVING count(*) >= 2 OR max(extra) >= 2)"""
+
+
+@_query(f"""{_GATED}, a AS (SELECT media_id, seg, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, seg, seq) - 1 AS seq, start_ms, end_ms, text FROM seg_out WHERE media_id NOT IN (SELECT media_id FROM bad)),
+b AS (SELECT media_id, seg, seq, start_ms, least(end_ms, coalesce(lead(start_ms) {W}, end_ms)) AS end_ms, text FROM a),
+h AS (SELECT media_id, end_ms AS lo, lead(start_ms) OVER (PARTITION BY media_id ORDER BY start_ms, seq) AS hi FROM b),
+p AS (SELECT c.media_id, CAST(NULL AS INTEGER) AS seg, c.seq, c.start_ms, c.end_ms, c.text FROM cues c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.media_id = c.media_id AND b.start_ms = c.start_ms)
+  AND EXISTS (SELECT 1 FROM h WHERE h.media_id = c.media_id AND h.hi - h.lo > 15000 AND c.start_ms BETWEEN h.lo AND h.hi)),
+u AS (SELECT media_id, seg, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, origin, seq) - 1 AS seq, start_ms, end_ms, text FROM (SELECT *, 0 AS origin FROM b UNION ALL SELECT *, 1 FROM p) q)
+SELECT media_id, seg, seq, start_ms, least(end_ms, coalesce(lead(start_ms) {W}, end_ms)) AS end_ms, text FROM u""")
 def merged_cues(spark, sf_dir):
     a, out = _segments(spark, sf_dir)
     merged = gate.merge(a, out, a.select("media_id", "seq", "start_ms", "end_ms", "text_lines"))[1]
@@ -472,7 +488,7 @@ def ordered_distinct_lines(spark, sf_dir):
     return overlay.distinct_lines(table(spark, sf_dir, "documents"))
 
 
-@_query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[0-9A-Za-z_\\p{L}\\p{N}\\p{M}]+'), lambda x: regexp_full_match(x, '[A-Z]{2,5}') AND NOT list_contains(['OK', 'UI', 'AM', 'PM', 'HD', 'ID', 'URL', 'USD', 'ETF', 'CEO', 'AI'], x)))), ',') AS tickers FROM documents")
+@_query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[0-9A-Za-z_\\p{L}\\p{N}\\p{M}]+'), lambda x: regexp_full_match(x, '[A-Z]{2,5}') AND NOT list_contains(['OBS'], x)))), ',') AS tickers FROM documents")
 def ticker_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.tickers("text"), ",").alias("tickers"))
 
@@ -584,7 +600,13 @@ def force_split_cues(spark, sf_dir):
     return sequence.split_cues(cues(spark, sf_dir), forced=True).select("media_id", "seq", "start_ms", "end_ms", "text")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {CUES_SQL}, every AS (SELECT media_id, seq * 2 AS seq, start_ms, end_ms, text FROM cues UNION ALL SELECT media_id, seq * 2 + 1, start_ms + 100, end_ms, text || '!' FROM cues),
+n AS (SELECT *, regexp_replace(text, '[，。、？！,.\\s]', '', 'g') AS key, row_number() {W} AS rn FROM every),
+walk AS (SELECT media_id, rn, rn AS k, CAST(0 AS BIGINT) AS dropped FROM n WHERE rn = 1
+  UNION ALL SELECT x.media_id, x.rn, CASE WHEN near AND length(x.text) <= length(y.text) THEN w.k ELSE x.rn END, CASE WHEN NOT near THEN 0 WHEN length(x.text) > length(y.text) THEN w.k ELSE x.rn END
+  FROM (SELECT w.media_id, w.rn + 1 AS rn, w.k FROM walk w) w JOIN n x ON x.media_id = w.media_id AND x.rn = w.rn JOIN n y ON y.media_id = w.media_id AND y.rn = w.k,
+  LATERAL (SELECT abs(x.start_ms - y.start_ms) < 300 AND abs(x.end_ms - y.end_ms) < 300 AND (x.key = y.key OR starts_with(x.key, y.key) OR starts_with(y.key, x.key)) AS near) l)
+SELECT n.media_id, n.seq, n.start_ms, n.end_ms, n.text FROM n WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.media_id = n.media_id AND w.dropped = n.rn)""")
 def near_dup_time(spark, sf_dir):
     x = cues(spark, sf_dir).select("media_id", (F.col("seq") * 2).alias("seq"), "start_ms", "end_ms", "text")
     again = x.withColumns({"seq": F.col("seq") + 1, "start_ms": F.col("start_ms") + 100, "text": F.concat("text", F.lit("!"))})
@@ -615,7 +637,13 @@ def postprocess_pass(spark, sf_dir):
     return passes.postprocess(x, cues(spark, sf_dir), ["theTh"])
 
 
-@_query()
+@_query("""WITH RECURSIVE e AS (SELECT label AS media_id, vec_id AS seq, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE embedding IS NOT NULL),
+walk AS (SELECT media_id, seq, rn, bits, [bits] AS kept, TRUE AS stays FROM e WHERE rn = 1
+  UNION ALL SELECT media_id, seq, rn, bits, CASE WHEN near THEN kept ELSE list_append(kept, bits) END, NOT near FROM (
+    SELECT e.media_id, e.seq, e.rn, e.bits, w.kept, coalesce(list_min(list_transform(w.kept, lambda k: list_sum(list_transform(range(1, 65), lambda i: CASE WHEN k[i] <> e.bits[i] THEN 1 ELSE 0 END)))), 64) < 8 AS near
+    FROM walk w JOIN e ON e.media_id = w.media_id AND e.rn = w.rn + 1) q)
+SELECT media_id, seq, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM (
+  SELECT media_id, seq, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN bits[i] = 1 THEN CAST(pow(2, 64 - i) AS HUGEINT) ELSE CAST(0 AS HUGEINT) END)) AS h FROM walk WHERE stays) q""")
 def distinct_frames(spark, sf_dir):
     x = table(spark, sf_dir, "embeddings").where("embedding is not null")
     # one sign a bit of the hash: vectors of more than 64 dimensions are told apart by their first 64
@@ -623,19 +651,37 @@ def distinct_frames(spark, sf_dir):
     return sequence.distinct_frames(x.select(F.col("label").alias("media_id"), F.col("vec_id").alias("seq"), bits.alias("hash")))
 
 
-@_query("SELECT conv_id, turn, 1 AS n, substr(text, 1, 1) AS gram, 12 AS count, 1.0::DOUBLE AS ratio FROM conversations WHERE NOT regexp_matches(substr(text, 1, 1), '[，,。！？、\\s]') AND text <> ''")
+@_query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[，,。！？、\\s]', '', 'g') AS s FROM conversations),
+g AS (SELECT conv_id, turn, n, substr(s, i, n) AS gram, count(*) AS c FROM (SELECT conv_id, turn, s, n, unnest(range(1, greatest(length(s) - n + 1, 1) + 1)) AS i FROM t, (VALUES (1), (2), (3)) v(n) WHERE length(s) >= 10) q GROUP BY conv_id, turn, n, substr(s, i, n)),
+m AS (SELECT conv_id, turn, n, CAST(sum(c) AS BIGINT) AS total, max(c) AS best, arg_max(gram, c) AS gram FROM g GROUP BY conv_id, turn, n),
+hit AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n) AS r FROM m WHERE best >= 10 AND CAST(best AS DOUBLE) / total >= 0.8)
+SELECT t.conv_id, t.turn, CAST(h.n AS INTEGER) AS n, h.gram, CAST(h.best AS INTEGER) AS count, CAST(h.best AS DOUBLE) / h.total AS ratio FROM t LEFT JOIN hit h ON h.conv_id = t.conv_id AND h.turn = t.turn AND h.r = 1""")
 def repeated_grams(spark, sf_dir):
-    x = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.repetition(F.repeat(F.substring("text", 1, 1), 12)).alias("r"))
-    return x.where("r is not null").select("conv_id", "turn", "r.n", "r.gram", "r.count", "r.ratio")
-
-
-@_query()
-def repeated_grams_text(spark, sf_dir):
     """Every turn, judged by its whole text; nulls where nothing repeats."""
     x = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.repetition("text").alias("r"))
     return x.select("conv_id", "turn", "r.n", "r.gram", "r.count", "r.ratio")
 
 
+@_query(f"{C} SELECT media_id, seq, start_ms AS parsed_ms, round(CAST(end_ms AS DOUBLE) / 1000, 3) AS parsed_s FROM cues")
+def timecode_roundtrip(spark, sf_dir):
+    return cues(spark, sf_dir).select("media_id", "seq", tc.parse_ms(tc.format_ms("start_ms")).alias("parsed_ms"), F.round(tc.parse_seconds(tc.format_ms("end_ms")), 3).alias("parsed_s"))
+
+
+@_query("SELECT conv_id, turn, '[' || CAST(turn AS VARCHAR) || ', ' || CAST(length(text) AS VARCHAR) || ']' AS found FROM conversations WHERE NOT contains(text, '`')")
+def fenced_json_turns(spark, sf_dir):
+    x = table(spark, sf_dir, "conversations").where("not contains(text, '`')")
+    inner = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit(", "), F.length("text").cast("string"), F.lit("]"))
+    return x.select("conv_id", "turn", tx.fenced_json(F.concat("text", F.lit("\n```json\n"), inner, F.lit("\n```\n"), "role")).alias("found"))
+
+
+@_query(f"{C} SELECT media_id, row_number() {W} - 1 AS seq, CAST(start_ms AS DOUBLE) / 1000 AS start_s, CAST(end_ms AS DOUBLE) / 1000 AS end_s, text FROM cues")
+def segment_json_roundtrip(spark, sf_dir):
+    row = F.struct("seq", (F.col("start_ms") / 1000).alias("Start"), (F.col("end_ms") / 1000).alias("end"), F.col("text").alias("Content"))
+    x = cues(spark, sf_dir).groupBy("media_id").agg(F.sort_array(F.collect_list(row)).alias("l"))
+    content = F.to_json(F.struct(F.transform("l", lambda z: F.struct(z["Start"].alias("Start"), z["end"].alias("end"), z["Content"].alias("Content"))).alias("segments")))
+    return srt.scan_segments(x.select("media_id", content.alias("content"))).select("media_id", "seq", "start_s", "end_s", "text")
+
+
 # literal cases: texts outside the tables' languages, compared with their expected rows
 
 

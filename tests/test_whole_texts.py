@@ -31,7 +31,7 @@ def test_repetition_judges_whole_turns(spark, tmp_path):
     texts = ["the turn begins as any other does", "啊" * 30 + "好", "x" + "哈，" * 40, "aaaaaaaaaaaab" * 9, "aaaa" + "b" * 6, "", "no" * 40, "ab" * 3 + "z" * 90, "你" * 8 + "好" * 3]
     rows = [(1, i, "user", t) for i, t in enumerate([*texts, None])]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.turn: (r.n, r.gram, r["count"], r.ratio) for r in catalog.queries()["repeated_grams_text"](spark, str(tmp_path)).collect()}
+    got = {r.turn: (r.n, r.gram, r["count"], r.ratio) for r in catalog.queries()["repeated_grams"](spark, str(tmp_path)).collect()}
     assert got == {i: judged(t) for i, t in enumerate(texts)} | {len(texts): (None,) * 4}
     assert sorted(i for i in got if got[i][0]) == [1, 2, 3, 7]
 
