@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-SAMPLE_BYTES = 256 << 20
+SAMPLE_BYTES = 48 << 20  # a trainer holds some thirty times as much
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:

@@ -81,21 +81,25 @@ def train_rows(texts: pa.Array, y: np.ndarray, steps: int = STEPS, min_docs: int
     if len(y) == 0 or y.min() == y.max():
         return Model(weights, -20.0, 0.0)
     feats, sents, rows, n_sent = [], [], [], 0
+    n_docs = np.zeros(1 << BITS, np.int64)  # of each feature
     for lo, _, buf, off in K.pieces(texts):
         f, at, starts, first = tokens(buf, off)
         sent = np.searchsorted(starts, at, "right") - 1
         key = np.unique((sent << BITS) | f)  # each feature once a sentence
-        feats.append(key & ((1 << BITS) - 1))
-        sents.append((key >> BITS) + n_sent)
-        rows.append(K.row_of(first) + lo)
+        f, own = key & ((1 << BITS) - 1), K.row_of(first)
+        n_docs += np.bincount(np.unique((own[key >> BITS] << BITS) | f) & ((1 << BITS) - 1), minlength=1 << BITS)
+        feats.append(f.astype(np.int32))
+        sents.append(((key >> BITS) + n_sent).astype(np.int32))
+        rows.append(own + lo)
         n_sent += len(starts)
-    f, sent, row = np.concatenate(feats), np.concatenate(sents), np.concatenate(rows)
-    in_doc = np.unique(row[sent] * (1 << BITS) + f) & ((1 << BITS) - 1)
-    used = np.flatnonzero(np.bincount(in_doc, minlength=1 << BITS) >= min_docs)
-    dense = np.full(1 << BITS, -1)
+    used = np.flatnonzero(n_docs >= min_docs)
+    dense = np.full(1 << BITS, -1, np.int32)
     dense[used] = np.arange(len(used))
-    keep = dense[f] >= 0
-    f, sent = dense[f][keep], sent[keep]
+    for k, f in enumerate(feats):
+        keep = dense[f] >= 0
+        feats[k], sents[k] = dense[f[keep]], sents[k][keep]
+    f, sent, row = np.concatenate(feats).astype(np.int64), np.concatenate(sents).astype(np.int64), np.concatenate(rows)
+    del feats, sents, rows
     w, b = np.zeros(len(used)), -5.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
