@@ -119,7 +119,9 @@ def _collapsed(docs: DataFrame, coordinates: int, shingle: int, seed: int) -> tu
 
 def _prefixes(reps: DataFrame, threshold: int) -> DataFrame:
     """(d, v, rest): the rarest of the lists that d shares, all but threshold-1 of them, and how many lists of d come after each."""
-    posted = reps.select(F.col("doc_id").alias("d"), F.posexplode("sig").alias("i", "x")).select(
+    # in as many tasks as a shuffle has: each signature becomes many keys, which are counted in memory before their shuffle
+    spread = reps.repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    posted = spread.select(F.col("doc_id").alias("d"), F.posexplode("sig").alias("i", "x")).select(
         "d", F.expr("shiftleft(cast(i as bigint), 32) | (cast(x as bigint) & 4294967295L)").alias("v")
     )
     # lists of one document make no pair: only shared ones go on. Counts are combined before the shuffle, however long a list is
