@@ -43,9 +43,10 @@ def half_to_full(c: str | Column) -> Column:
 
 def fullwidth_norm(c: str | Column) -> Column:
     """Commas not between digits become full-width and take one following space; ? and ! do after an ideograph (spaces between them allowed)."""
-    out = F.regexp_replace(_col(c), r"(?<!\d), ?(?!\d)", "，")
+    # patterns begin with a character, so that nothing is looked back for at every place
+    out = F.regexp_replace(_col(c), r",(?<!\d,) ?(?!\d)", "，")
     for half in "?!":
-        out = F.regexp_replace(out, f"(?<=[{CJK}] {{0,64}})\\{half}", WIDE[half])
+        out = F.regexp_replace(out, f"([{CJK}] *+)\\{half}", f"$1{WIDE[half]}")
     return out
 
 

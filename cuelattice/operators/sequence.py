@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.difftools import ratio_from
+from ..functions.difftools import alike, ratio_from
+from .shared import folded, media_in, replaced
 
 CONNECTORS = ("不過", "但是", "可是", "因為", "如果", "或者", "所以", "然後", "甚至", "而且")
 LIMIT = 20
@@ -21,6 +24,10 @@ def _by_seq() -> Window:
     return Window.partitionBy("media_id").orderBy("seq")
 
 
+def _seq() -> Column:
+    return F.col("seq").asc_nulls_last()
+
+
 def renumbered(cues: DataFrame) -> DataFrame:
     """seq dense from 0 by (start_ms, seq)."""
     return cues.withColumn("seq", (F.row_number().over(Window.partitionBy("media_id").orderBy("start_ms", "seq")) - 1).cast("long"))
@@ -45,31 +52,36 @@ def near_duplicates(cues: DataFrame, near_ms: int = 300, least: float | None = 0
     """
     clean = re.compile(r"[，。、？！,.\s]")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        rows = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
-        for i, (s, e, t) in enumerate(zip(rows["start_ms"], rows["end_ms"], rows["text"])):
-            if kept:
-                k = kept[-1]
-                if abs(s - rows["start_ms"][k]) < near_ms and abs(e - rows["end_ms"][k]) < near_ms:
+    def fold(table: pa.Table) -> pa.Table:
+        start, end, text = (table[c].to_pylist() for c in ("start_ms", "end_ms", "text"))
+        near = lambda x, y: x is not None and y is not None and abs(x - y) < near_ms
+        stays = [True] * table.num_rows
+        for lo, hi in media_in(table):
+            k = lo
+            for i in range(lo + 1, hi):
+                if near(start[i], start[k]) and near(end[i], end[k]):
+                    a, b = text[i] or "", text[k] or ""
                     if least is None:
+                        stays[i] = False
                         continue
-                    if not least or ratio_from(clean.sub("", t or ""), clean.sub("", rows["text"][k] or ""), least):
-                        if len(t or "") > len(rows["text"][k] or ""):
-                            kept[-1] = i
+                    if not least or alike(clean.sub("", a), clean.sub("", b), least):
+                        longer = len(a) > len(b)
+                        stays[k if longer else i] = False
+                        k = i if longer else k
                         continue
-            kept.append(i)
-        return rows.iloc[kept]
+                k = i
+        return table.filter(pa.array(stays, pa.bool_()))
 
-    return cues.groupBy("media_id").applyInPandas(fold, cues.schema)
+    return folded(cues, fold, cues.schema, _seq())
 
 
 def orphans_placed(cues: DataFrame) -> DataFrame:
     """cues of which those not `matched` get times: between matched neighbours in equal shares of the gap (500 ms at least), after the last one two seconds; leading ones keep theirs."""
     w = _by_seq()
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is looked for from the other end: a frame up to the last row is gone through again for every row
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("media_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     end, start = F.when(F.col("matched"), F.col("end_ms")), F.when(F.col("matched"), F.col("start_ms"))
-    x = cues.withColumn("prev_end", F.last(end, ignorenulls=True).over(before)).withColumn("next_start", F.first(start, ignorenulls=True).over(after))
+    x = cues.withColumn("prev_end", F.last(end, ignorenulls=True).over(before)).withColumn("next_start", F.last(start, ignorenulls=True).over(after))
     x = x.withColumn("run", F.sum(F.col("matched").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     run = Window.partitionBy("media_id", "run")
     x = x.withColumn("i", F.sum((~F.col("matched")).cast("int")).over(run.orderBy("seq"))).withColumn("n", F.sum((~F.col("matched")).cast("int")).over(run))
@@ -96,14 +108,16 @@ def _cuts(text: str, ends: bool) -> list[int]:
 
 
 def _greedy(text: str, cuts: list[int], least: int) -> list[str]:
-    parts, start = [], 0
+    parts, start, end = [], 0, bisect_right(cuts, len(text) - least)
     while len(text) - start > LIMIT:
-        fit = [p for p in cuts if p > start and len(text) - p >= least]
-        inner = [p for p in fit if least <= p - start <= LIMIT]
-        later = [p for p in fit if p > start + least]
-        if not (inner or later):
+        inner = bisect_right(cuts, start + LIMIT, 0, end) - 1
+        later = bisect_right(cuts, start + least, 0, end)
+        if inner >= bisect_left(cuts, start + least, 0, end):
+            at = cuts[inner]
+        elif later < end:
+            at = cuts[later]
+        else:
             break
-        at = inner[-1] if inner else later[0]
         parts.append(text[start:at].strip())
         start = at
     parts.append(text[start:].strip())
@@ -168,7 +182,7 @@ def split_forced(text: str, words: Callable[[str], Iterable[str]] | None = None)
     return parts if len(parts) > 1 else [text]
 
 
-_PARTS = T.ArrayType(T.StringType())
+_PARTS = T.ArrayType(T.StructType([T.StructField("part", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("before", "after", "total")]]))
 
 
 def split_cues(cues: DataFrame, forced: bool = False, words: Callable[[str], Iterable[str]] | None = None) -> DataFrame:
@@ -176,19 +190,23 @@ def split_cues(cues: DataFrame, forced: bool = False, words: Callable[[str], Ite
 
     @F.pandas_udf(_PARTS)
     def parts(text: pd.Series) -> pd.Series:
-        return pd.Series([[t] if t is None else (split_forced(t, words) if forced else split_long(t)) for t in text], dtype=object)
+        out = []
+        for t in text:
+            p = [] if t is None else split_forced(t, words) if forced else split_long(t)
+            ends = np.cumsum([0, *(1 if forced else len(x) for x in p)]).tolist()
+            out.append([{"part": x, "before": a, "after": b, "total": ends[-1]} for x, a, b in zip(p, ends, ends[1:])])
+        return pd.Series(out, dtype=object)
 
     live = ~F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in cues.columns else F.lit(True)
-    x = cues.withColumn("parts", F.when(live & (F.length("text") > LIMIT), parts(F.when(live & (F.length("text") > LIMIT), F.col("text")))).otherwise(F.array("text")))
-    sizes = F.transform("parts", lambda p: F.lit(1) if forced else F.greatest(F.coalesce(F.length(p), F.lit(0)), F.lit(1)))
-    x = x.withColumn("sizes", sizes).select("*", F.posexplode("parts").alias("part_no", "part"))
-    upto = lambda k: F.aggregate(F.slice("sizes", 1, k), F.lit(0), lambda a, b: a + b)
-    total, length = F.aggregate("sizes", F.lit(0), lambda a, b: a + b), F.col("end_ms") - F.col("start_ms")
-    share = lambda k: F.col("start_ms") + F.floor(length * upto(k) / total).cast("long")
-    many = F.size("parts") > 1
-    x = x.withColumns({"new_start": F.when(many, share(F.col("part_no"))).otherwise(F.col("start_ms")), "new_end": F.when(many, share(F.col("part_no") + 1)).otherwise(F.col("end_ms"))})
+    whole = F.array(F.struct(F.col("text").alias("part"), F.lit(0).alias("before"), F.lit(1).alias("after"), F.lit(1).alias("total")))
+    x = cues.withColumn("parts", F.when(live & (F.length("text") > LIMIT), parts(F.when(live & (F.length("text") > LIMIT), F.col("text")))).otherwise(whole))
+    # a part brings its own share along: no row holds the other parts
+    x = x.withColumn("many", F.size("parts") > 1).select("*", F.posexplode("parts").alias("part_no", "part"))
+    length = F.col("end_ms") - F.col("start_ms")
+    share = lambda k: F.col("start_ms") + F.floor(length * F.col(f"part.{k}") / F.col("part.total")).cast("long")
+    x = x.withColumns({"new_start": F.when(F.col("many"), share("before")).otherwise(F.col("start_ms")), "new_end": F.when(F.col("many"), share("after")).otherwise(F.col("end_ms"))})
     seq = (F.row_number().over(Window.partitionBy("media_id").orderBy("old", "part_no")) - 1).cast("long")
-    x = x.withColumn("old", F.col("seq")).withColumns({"start_ms": F.col("new_start"), "end_ms": F.col("new_end"), "text": F.col("part"), "seq": seq})
+    x = x.withColumn("old", F.col("seq")).withColumns({"start_ms": F.col("new_start"), "end_ms": F.col("new_end"), "text": F.col("part.part"), "seq": seq})
     return x.select(*cues.columns)
 
 
@@ -205,19 +223,19 @@ def greedy_chunks(cues: DataFrame, max_tokens: int = 8000, max_entries: int = 20
     The fold needs ids and token counts only: texts don't go through Python.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        out, chunk, used, n = [], 0, 0, 0
-        for t in pdf["tokens"]:
-            if n and (used + t > max_tokens or n + 1 > max_entries):
-                chunk, used, n = chunk + 1, 0, 0
-            used, n = used + t, n + 1
-            out.append(chunk)
-        return pdf[["media_id", "seq"]].assign(chunk=out)
-
-    kind = dict(cues.dtypes)
+    def fold(table: pa.Table) -> pa.Table:
+        size, out = table["tokens"].to_pylist(), []
+        for lo, hi in media_in(table):
+            chunk, used, n = 0, 0, 0
+            for t in size[lo:hi]:
+                if n and (used + (t or 0) > max_tokens or n + 1 > max_entries):
+                    chunk, used, n = chunk + 1, 0, 0
+                used, n = used + (t or 0), n + 1
+                out.append(chunk)
+        return table.select(["media_id", "seq"]).append_column("chunk", pa.chunked_array([pa.array(out, pa.int32())]))
+
     slim = cues.select("media_id", "seq", F.col(tokens).cast("long").alias("tokens"))
-    placed = slim.groupBy("media_id").applyInPandas(fold, f"media_id {kind['media_id']}, seq {kind['seq']}, chunk int")
+    placed = folded(slim, fold, slim.drop("tokens").withColumn("chunk", F.lit(0)).schema, _seq())
     return cues.join(placed, ["media_id", "seq"])
 
 
@@ -273,7 +291,7 @@ def restored_times(cor: list[str], ref: list[tuple[int, int, str]]) -> list[tupl
     while c < len(cor) and r < len(ref):
         if not cor[c]:
             c += 1
-        elif ratio_from(cor[c], texts[r], 0.6):
+        elif alike(cor[c], texts[r], 0.6):
             out[c] = ref[r][:2]
             c, r = c + 1, r + 1
         else:
@@ -299,18 +317,26 @@ def restored_times(cor: list[str], ref: list[tuple[int, int, str]]) -> list[tupl
 
 def restore_timecodes(corrected: DataFrame, reference: DataFrame) -> DataFrame:
     """corrected cues with the times of the reference cues whose texts they carry, and `matched`; the rest get times between their neighbours."""
-    kind = dict(corrected.dtypes)
-
-    def fold(key: tuple, cor: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        cor, ref = cor.sort_values("seq", kind="stable"), ref.sort_values("seq", kind="stable")
-        times = restored_times(list(cor["text"]), list(zip(ref["start_ms"].astype(int), ref["end_ms"].astype(int), ref["text"])))
-        rows = [(m, q, *(t or (None, None))) for m, q, t in zip(cor["media_id"], cor["seq"], times)]
-        return pd.DataFrame(rows, columns=["media_id", "seq", "s", "e"]).astype({"s": "Int64", "e": "Int64"})
-
-    slim = lambda d, *more: d.select("media_id", "seq", "text", *more).groupBy("media_id")
-    found = slim(corrected).cogroup(slim(reference, "start_ms", "end_ms")).applyInPandas(fold, f"media_id {kind['media_id']}, seq {kind['seq']}, s long, e long")
-    x = corrected.join(found, ["media_id", "seq"]).withColumns({"matched": F.col("s").isNotNull(), "start_ms": F.coalesce("s", "start_ms"), "end_ms": F.coalesce("e", "end_ms")}).drop("s", "e")
-    return orphans_placed(x)
+    names = ["media_id", "seq", *[c for c in corrected.columns if c not in ("media_id", "seq", "matched")]]
+    times = [F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms")]
+
+    def fold(table: pa.Table) -> pa.Table:
+        is_ref, text, start, end = (table[c].to_pylist() for c in ("is_reference", "text", "start_ms", "end_ms"))
+        matched = [False] * table.num_rows
+        for lo, hi in media_in(table):
+            mid = bisect_left(is_ref, True, lo, hi)
+            for i, t in enumerate(restored_times(text[lo:mid], list(zip(start[mid:hi], end[mid:hi], text[mid:hi]))), lo):
+                if t:
+                    matched[i], start[i], end[i] = t[0] is not None, *(own if found is None else found for own, found in zip((start[i], end[i]), t))
+        out = replaced(table, start_ms=start, end_ms=end).append_column("matched", pa.chunked_array([pa.array(matched, pa.bool_())]))
+        return out.filter(pa.array([not r for r in is_ref], pa.bool_())).drop_columns(["is_reference"])
+
+    # both sides in one table, once: the corrected cues go through with all they have, and nothing is joined back
+    cor = corrected.select(*names).withColumns({"start_ms": times[0], "end_ms": times[1]})
+    ref = reference.select("media_id", "seq", *times, "text").withColumn("is_reference", F.lit(True))
+    both = cor.withColumn("is_reference", F.lit(False)).unionByName(ref, allowMissingColumns=True)
+    schema = both.drop("is_reference").withColumn("matched", F.lit(False)).schema
+    return orphans_placed(folded(both, fold, schema, "is_reference", _seq()))
 
 
 def terms_kept_whole(cues: DataFrame, terms: list[str]) -> DataFrame:
@@ -327,26 +353,28 @@ def terms_kept_whole(cues: DataFrame, terms: list[str]) -> DataFrame:
                     return t[k:]
         return None
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("seq", kind="stable").to_dict("records")
-        i = 0
-        while i < len(rows) - 1:
-            a, b = rows[i], rows[i + 1]
-            moved = cut(a["text"] or "", b["text"] or "")
-            if moved is None:
-                i += 1
-                continue
-            a["text"] += moved
-            b["text"] = b["text"][len(moved) :].lstrip("，,、 ")
-            if b["text"]:
-                a["end_ms"] += (b["end_ms"] - b["start_ms"]) * len(moved) // (len(moved) + len(b["text"]))
-                b["start_ms"] = a["end_ms"]
-            else:
-                a["end_ms"] = b["end_ms"]
-                del rows[i + 1]
-        return pd.DataFrame([r for r in rows if (r["text"] or "").strip()], columns=pdf.columns)
-
-    return cues.groupBy("media_id").applyInPandas(fold, cues.schema)
+    def fold(table: pa.Table) -> pa.Table:
+        start, end, text = (table[c].to_pylist() for c in ("start_ms", "end_ms", "text"))
+        stays = [True] * table.num_rows
+        for lo, hi in media_in(table):
+            i, j = lo, lo + 1
+            while j < hi:
+                moved = cut(text[i] or "", text[j] or "")
+                if moved is None:
+                    i, j = j, j + 1
+                    continue
+                text[i] += moved
+                text[j] = text[j][len(moved) :].lstrip("，,、 ")
+                if text[j]:
+                    end[i] = None if None in (end[i], start[j], end[j]) else end[i] + (end[j] - start[j]) * len(moved) // (len(moved) + len(text[j]))
+                    start[j] = end[i]
+                else:
+                    end[i], stays[j] = end[j], False
+                    j += 1
+        stays = [s and bool((t or "").strip()) for s, t in zip(stays, text)]
+        return replaced(table, start_ms=start, end_ms=end, text=text).filter(pa.array(stays, pa.bool_()))
+
+    return folded(cues, fold, cues.schema, _seq())
 
 
 def distinct_frames(frames: DataFrame, threshold: int = 8) -> DataFrame:
