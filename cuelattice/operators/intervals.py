@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timecode as tc
+from .shared import folded, media_in
 
 BUCKET_MS = 60_000
 
@@ -127,17 +130,28 @@ def cut_points(media: DataFrame, silences: DataFrame, max_part_s: float) -> Data
     """
     ideals = media.where(F.col("total_s") > max_part_s).select("media_id", F.explode(F.sequence(F.lit(1), F.ceil(F.col("total_s") / max_part_s).cast("int") - 1)).alias("cut_no")).withColumn("ideal", F.col("cut_no") * F.lit(float(max_part_s)))
 
-    def pick(key: tuple, ideal: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        free, out = sorted(set(points["silence_end"].dropna())), []
-        for no, at in sorted(zip(ideal["cut_no"], ideal["ideal"])):
-            if not free:
-                break
-            best = min(free, key=lambda s: (abs(s - at), s))
-            free.remove(best)
-            out.append((key[0], int(no), float(best)))
-        return pd.DataFrame(out, columns=["media_id", "cut_no", "cut_s"])
-
-    return ideals.groupBy("media_id").cogroup(silences.select("media_id", "silence_end").groupBy("media_id")).applyInPandas(pick, f"media_id {dict(media.dtypes)['media_id']}, cut_no int, cut_s double")
+    def pick(table: pa.Table) -> pa.Table:
+        cut_no, ideal, silence = (table[c].to_pylist() for c in ("cut_no", "ideal", "silence_end"))
+        rows, nos, cuts = [], [], []
+        for lo, hi in media_in(table):
+            mid = next((i for i in range(lo, hi) if cut_no[i] is None), hi)
+            free = sorted({s for s in silence[mid:hi] if s is not None and s == s})
+            for i in range(lo, mid):
+                if not free:
+                    break
+                far = lambda k: abs(free[k] - ideal[i])  # noqa: B023, E731
+                best = bisect_left(free, ideal[i])
+                if best and (best == len(free) or far(best - 1) <= far(best)):
+                    best -= 1
+                    while best and far(best - 1) == far(best):
+                        best -= 1
+                rows.append(i)
+                nos.append(cut_no[i])
+                cuts.append(float(free.pop(best)))
+        return pa.table({"media_id": table["media_id"].take(pa.array(rows, pa.int64())), "cut_no": pa.array(nos, pa.int32()), "cut_s": pa.array(cuts, pa.float64())})
+
+    both = ideals.unionByName(silences.select("media_id", F.col("silence_end").cast("double").alias("silence_end")), allowMissingColumns=True)
+    return folded(both, pick, both.select("media_id", F.lit(0).alias("cut_no"), F.lit(0.0).alias("cut_s")).schema, F.col("cut_no").asc_nulls_last())
 
 
 def part_ranges(media: DataFrame, cuts: DataFrame) -> DataFrame:

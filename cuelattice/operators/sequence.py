@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
@@ -258,7 +259,7 @@ def chunk_context(chunks: DataFrame, n: int = 5) -> DataFrame:
 _CLEAN = re.compile(r"[，。、？！,.\s]")
 
 
-def _anchor(cor: list[str], ref: list[str], c0: int, r0: int) -> tuple[int, int] | None:
+def _anchor(cor: list[str], ref: list[str], c0: int, r0: int, ratio: Callable[[int, int], float]) -> tuple[int, int] | None:
     nc, nr, best = min(80, len(cor) - c0), min(80, len(ref) - r0), None
     for far in range(1, max(nc, nr)):
         better = False
@@ -266,7 +267,7 @@ def _anchor(cor: list[str], ref: list[str], c0: int, r0: int) -> tuple[int, int]
             dr = far - dc
             if dr >= nr or not cor[c0 + dc] or not ref[r0 + dr]:
                 continue
-            r = ratio_from(cor[c0 + dc], ref[r0 + dr], 0.75)
+            r = ratio(c0 + dc, r0 + dr)
             if r and (best is None or r > best[0]):
                 best, better = (r, c0 + dc, r0 + dr), True
         if better and best[0] >= 0.85:
@@ -287,6 +288,8 @@ def restored_times(cor: list[str], ref: list[tuple[int, int, str]]) -> list[tupl
     """Times of each corrected text from the reference cues: one to one, one to several, several to one, and on from the next anchor where neither fits."""
     cor, texts = [_CLEAN.sub("", t or "") for t in cor], [_CLEAN.sub("", t or "") for _, _, t in ref]
     out: list[tuple[int, int] | None] = [None] * len(cor)
+    # of pairs that the windows of several searches share; kept by place, so that no text is held
+    near = functools.lru_cache(maxsize=1 << 14)(lambda i, j: ratio_from(cor[i], texts[j], 0.75))
     c = r = 0
     while c < len(cor) and r < len(ref):
         if not cor[c]:
@@ -308,7 +311,7 @@ def restored_times(cor: list[str], ref: list[tuple[int, int, str]]) -> list[tupl
                     out[c + k] = tuple(start + (end - start) * int(ends[k + m]) // int(ends[-1]) for m in (0, 1))
                 c, r = c + parted[1], r + 1
             else:
-                at = _anchor(cor, texts, c, r)
+                at = _anchor(cor, texts, c, r, near)
                 if at is None:
                     break
                 c, r = at

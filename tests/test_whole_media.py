@@ -1,5 +1,6 @@
 """Folds over many media in a table, and the steps of postprocess_pass whose work may grow no faster than the cues."""
 
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuelattice.functions import difftools
 from cuelattice.functions import text as tx
-from cuelattice.operators import sequence, shared
+from cuelattice.operators import intervals, sequence, shared
 from cuelattice.plans import passes
 
 CUE = "media_id long, seq long, start_ms long, end_ms long, text string"
@@ -84,14 +85,32 @@ def test_bounded_ratios_are_exact():
 
 
 def test_ratios_stop_when_decided(monkeypatch):
-    calls, find = [], SequenceMatcher.find_longest_match
-    monkeypatch.setattr(SequenceMatcher, "find_longest_match", lambda *a: calls.append(1) or find(*a))
+    calls, find = [], difftools._longest
+    monkeypatch.setattr(difftools, "_longest", lambda *a: calls.append(a) or find(*a))
     a = "".join(random.Random(1).choices("abcdefghij", k=150))
     assert difftools.alike(a + "tion" * 9 + a[::-1], a + "sion" * 9 + a[::-1], 0.4) and len(calls) == 1
+    # of frequent characters no place is gone through
+    assert len(calls[0][2]) < 40
     calls.clear()
     assert difftools.alike(a * 9, a * 9, 0.6) and not calls
 
 
+def test_cut_points_of_many_media(spark):
+    rng = random.Random(2)
+    points = {m: [rng.choice((None, *range(0, 900, 10))) for _ in range(rng.randint(0, 25))] for m in range(40)}
+    media = spark.createDataFrame([(m, 100.0 * m % 900) for m in points], "media_id long, total_s double")
+    df = intervals.cut_points(media, spark.createDataFrame([(m, None if s is None else float(s)) for m, l in points.items() for s in l], "media_id long, silence_end double"), 60.0)
+    want = []
+    for m, l in points.items():
+        free = {float(s) for s in l if s is not None}
+        for no in range(1, math.ceil((100.0 * m % 900) / 60)):
+            if free:
+                want.append((m, no, min(free, key=lambda s: (abs(s - 60.0 * no), s))))  # noqa: B023
+                free.remove(want[-1][2])
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) > 100
+    assert "FlatMap" not in plan(df)
+
+
 def test_spaces_before_marks(spark):
     rows = [("好" + " " * 200 + "?", "好" + " " * 200 + "？"), ("好 ! ?", "好 ！ ?"), ("好?!", "好？!"), ("a ?", "a ?"), ("1, a,2, b", "1, a,2, b"), ("a, 5 b,,c", "a， 5 b，，c"), (", x", "，x")]
     got = spark.createDataFrame(rows, "t string, want string").select(tx.fullwidth_norm("t").alias("got"), "want").collect()
